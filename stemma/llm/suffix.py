@@ -298,14 +298,14 @@ def removal(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
 
 def strip(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with repeats taken out of the text; a character only partly covered stays."""
-    marked = _identified(docs, id_col, text_col)
-    places = spans(docs, length, id_col, text_col)
-    joined = marked.join(places, ["id", "mark"], "left")
+    marked = docs.withColumns({"_s_id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), "_s_mark": F.xxhash64(text_col)})
+    places = spans(docs, length, id_col, text_col).toDF("_s_id", "_s_mark", "_s_places")
+    joined = marked.join(places, ["_s_id", "_s_mark"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for t, p in zip(b.column(text_col), b.column("places")):
+            for t, p in zip(b.column(text_col), b.column("_s_places")):
                 if not p.is_valid or not t.is_valid:
                     out.append(t.as_py())
                     continue
@@ -321,4 +321,4 @@ def strip(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else b.column(n) for n in names], names)
 
     names = docs.columns
-    return joined.select(*names, "places").mapInArrow(cut, docs.schema)
+    return joined.select(*names, "_s_places").mapInArrow(cut, docs.schema)

@@ -36,6 +36,7 @@ CACHE_WORDS = 400_000
 PREFIXES = (4, 5, 6)
 SMOOTH = 10.0
 LEAST = 1.0
+STEPS = 600
 
 _KEEP = string.ascii_letters.encode() + bytes(range(0x80, 0x100))
 _FOLD = bytes(ord(chr(b).lower()) if b < 0x80 and b in _KEEP else b if b in _KEEP else 0x20 for b in range(256))
@@ -94,7 +95,7 @@ def _forward(m: Machine, at: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, n
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 6, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """Logistic loss, AdaGrad, small batches."""
+    """Logistic loss, AdaGrad, small batches; small samples are gone through more often, for STEPS batches at least."""
     size, share = 1 << bits, float(labels.mean()) if len(labels) else 0.0
     rng = np.random.default_rng(seed)
     m = Machine(30.0 if share == 1 else -30.0, np.zeros(size), np.zeros(size), rng.normal(0, 0.01, (size, factors)))
@@ -106,7 +107,7 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
     rows = [r[m.value[r] != 0] for r in rows]
     m.base, g_base = float(np.log(share / (1 - share))), 1.0
     g_w, g_v = np.full(size, 1.0), np.full((size, factors), 1.0)
-    for _ in range(epochs):
+    for _ in range(max(epochs, -(-STEPS * 128 // len(rows)))):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), 128):
             part = order[a : a + 128]
@@ -151,8 +152,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     return fit([np.frombuffer(r["terms"], "<i4").astype(np.int64) for r in got], np.array([r["label"] for r in got], float))
 
 
-def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs' columns with `score`."""
+def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str = "score") -> DataFrame:
+    """docs' columns and the score, called `name`."""
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,8 +165,8 @@ def score(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: s
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in names), pa.array(np.concatenate(out) if out else np.zeros(0))], schema_names)
 
     names = docs.columns
-    schema_names = [*names, "score"]
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", score double")
+    schema_names = [*names, name]
+    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double")
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -176,4 +177,4 @@ def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) ->
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    return score(docs, train(docs, labels)).filter(F.col("score") < threshold).select(docs.columns)
+    return score(docs, train(docs, labels), name="_toxicity").filter(F.col("_toxicity") < threshold).select(docs.columns)
