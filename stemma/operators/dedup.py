@@ -28,11 +28,11 @@ def tier1_pairs(nodes: DataFrame, threshold: float = 0.90) -> DataFrame:
     return met.withColumn("_r", near("node_text_a", "node_text_b")).filter(F.col("_r") >= threshold).select(F.col("node_id_a").alias("a"), F.col("node_id_b").alias("b"))
 
 
-def tier2_pairs(nodes: DataFrame, threshold: float = 0.90, budget: int = 10_000_000) -> DataFrame:
+def tier2_pairs(nodes: DataFrame, threshold: float = 0.90) -> DataFrame:
     """(a, b, cosine) of near vectors without numeric conflict. nodes: node_id, vector, nums."""
     from stemma.operators.funnel import nearest
 
-    near = nearest(nodes, nodes, None, budget, unordered=True).filter(F.col("cosine") >= threshold)
+    near = nearest(nodes, nodes, None, None, unordered=True, least=threshold)
     n = nodes.select("node_id", "nums")
     met = near.join(n.select(F.col("node_id").alias("src"), F.col("nums").alias("_a")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("nums").alias("_b")), "dst")
     return met.filter(~numeric_conflict(F.col("_a"), F.col("_b"))).select(F.col("src").alias("a"), F.col("dst").alias("b"), "cosine")

@@ -38,8 +38,9 @@ def _blocks(df: DataFrame, name: str) -> DataFrame:
     return df.select("node_id", "vector").filter("vector is not null").mapInArrow(pack, f"{name}_ids binary, {name}_x binary")
 
 
-def nearest(src: DataFrame, dst: DataFrame, per_dst: int | None, budget: int, unordered: bool = False) -> DataFrame:
-    """(src, dst, cosine) of the `budget` best pairs by cosine to 6 places, then ids; per_dst: only each dst's nearest so many.
+def nearest(src: DataFrame, dst: DataFrame, per_dst: int | None, budget: int | None, unordered: bool = False, least: float | None = None) -> DataFrame:
+    """(src, dst, cosine) of the `budget` best pairs by cosine to 6 places, then ids; per_dst: only each dst's nearest so many;
+    least: only cosines from there on; no budget: all.
 
     Blocks of src meet blocks of dst as matrices, and each meeting passes on only what can be
     among the best: at most per_dst rows a column or `budget` rows in all."""
@@ -50,7 +51,7 @@ def nearest(src: DataFrame, dst: DataFrame, per_dst: int | None, budget: int, un
                 s, d = np.frombuffer(r["s_ids"], "<i8"), np.frombuffer(r["d_ids"], "<i8")
                 cos = np.round(np.frombuffer(r["s_x"]).reshape(len(s), -1) @ np.frombuffer(r["d_x"]).reshape(len(d), -1).T, 6)
                 ok = s[:, None] < d if unordered else s[:, None] != d
-                i, j = np.nonzero(ok)
+                i, j = np.nonzero(ok if least is None else ok & (cos >= least))
                 c = cos[i, j]
                 if per_dst is not None:
                     order = np.lexsort((s[i], -c, j))
@@ -66,7 +67,7 @@ def nearest(src: DataFrame, dst: DataFrame, per_dst: int | None, budget: int, un
     if per_dst is not None:
         w = Window.partitionBy("dst").orderBy(F.desc("cosine"), "src")
         pairs = pairs.withColumn("_k", F.row_number().over(w)).filter(F.col("_k") <= per_dst).drop("_k")
-    return pairs.orderBy(F.desc("cosine"), "src", "dst").limit(budget)
+    return pairs if budget is None else pairs.orderBy(F.desc("cosine"), "src", "dst").limit(budget)
 
 
 def funnel(nodes: DataFrame, total: int, k: int = 50, new_ids: DataFrame | None = None, prior: DataFrame | None = None) -> DataFrame:
