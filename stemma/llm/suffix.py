@@ -16,6 +16,12 @@ are laid out in the order of the rounds and read once, from an external file whe
 MEMORY bytes. After the round of a window's first byte, neighbours with a common prefix of
 LENGTH are repeats, and so is a segment with a count over one.
 
+A passage in a large share of all documents puts its segments under one key. Such keys, and
+the segments that repeat as often, are known from the occurrences of a share of the documents;
+this only places rows and decides no result. Their occurrences repeat, so that they need no
+count and lie anywhere; joins on them are salted. If such a collection has over GIANT distinct
+segments, it is dealt anew by whole windows, each a collection of one, whose count decides.
+
 Defined results: null is the empty text; texts below LENGTH bytes keep all; repeated rows
 remove each other wholly; strings are judged on the input; an empty table gives no rows; extra
 columns are ignored by removal() and kept by strip().
@@ -39,6 +45,11 @@ GRAM = 16
 BLOCK_BYTES = 4 << 20
 BATCH = 20_000
 MEMORY = 128 << 20
+SHARE = 64  # one document in so many shows which keys are frequent
+HOT = 32  # occurrences there that make a key frequent
+LISTED = 200_000  # as many frequent keys are broadcast at most; beyond it they need more occurrences
+SALTED = 16_384  # occurrences of a frequent segment to a salt
+GIANT = 20_000
 
 _A = 0x9E3779B97F4A7C15
 
@@ -183,22 +194,38 @@ def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.withColumns({"id": F.coalesce(F.col(id_col).cast("bigint"), F.lit(-(2**63))), "mark": F.xxhash64(text_col)})
 
 
-def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def _frequent(sampled: DataFrame, by: list[str], hot: int) -> DataFrame:
+    """Keys with at least `hot` sampled occurrences, and more where over LISTED have; n: how many."""
+    found = stored(sampled.groupBy(*by).agg(F.count("*").alias("n")).filter(F.col("n") >= hot), "frequent")
+    while found.filter(F.col("n") >= hot).count() > LISTED:
+        hot *= 2
+    return found.filter(F.col("n") >= hot)
+
+
+def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", share: int = SHARE, hot: int = HOT, giant: int = GIANT) -> DataFrame:
     """id, mark, places: array<struct<s, z>> of repeated bytes, half-open; for documents that have any."""
     texts = _identified(docs.select(id_col, text_col), id_col, text_col).select("id", "mark", F.col(text_col).alias("text"))
     side = (length - GRAM) // 2
     columns = side + 1 + length
-    met = F.count("*").over(Window.partitionBy("key"))
-    seen = stored(_occurrences(texts, length).withColumn("n", met).filter("n > 1").drop("n"), "met")
-    distinct = seen.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "s", "e", "p")).alias("of"))
-    kinds = F.count("*").over(Window.partitionBy("key"))
-    distinct = stored(distinct.withColumn("kinds", kinds).select("key", "content", "n", "kinds", "of.*"), "segments")
-    several = distinct.filter("kinds > 1").groupBy("id", "mark").agg(F.collect_list(F.struct("key", "content", "n", "s", "e", "p")).alias("parts"))
+    sampled = stored(_occurrences(texts.filter(F.pmod(F.xxhash64("id", "mark"), F.lit(share)) == 0), length).select("key", "content"), "sampled")
+    keys = F.broadcast(_frequent(sampled, ["key"], max(hot, 2)).select("key", F.lit(True).alias("hot")))
+    salts = F.broadcast(_frequent(sampled, ["key", "content"], max(hot, 2)).select("key", "content", F.ceil(F.col("n") * share / SALTED).alias("salts")))
+    spread = F.xxhash64("id", "mark", "s")
+    placed = _occurrences(texts, length).join(keys, "key", "left").join(salts, ["key", "content"], "left").withColumns({"hot": F.coalesce("hot", F.lit(False)), "salt": F.coalesce(F.pmod(spread, F.col("salts")), F.lit(0)).cast("int")})
+    met = F.count("*").over(Window.partitionBy("key", F.when(F.col("hot"), spread)))
+    seen = stored(placed.withColumn("n", met).filter("n > 1 or hot").drop("n", "salts"), "met")
+    distinct = seen.groupBy("key", "content").agg(F.count("*").alias("n"), F.min(F.struct("id", "mark", "s", "e", "p")).alias("of"), F.max("hot").alias("hot"))
+    kinds = F.count("*").over(Window.partitionBy("key", F.when(F.col("hot"), F.col("content"))))
+    distinct = stored(distinct.withColumn("kinds", kinds).select("key", "content", "n", "kinds", "hot", "of.*"), "segments")
+    of_hot = stored(distinct.filter("hot").groupBy("key").agg(F.count("*").alias("_kinds")), "kinds")
+    distinct = distinct.join(F.broadcast(of_hot), "key", "left").withColumn("kinds", F.coalesce("_kinds", "kinds")).drop("_kinds")
+    huge = F.col("hot") & (F.col("kinds") > giant)
+    several = distinct.filter("kinds > 1").groupBy("id", "mark").agg(F.collect_list(F.struct("key", "content", "n", "s", "e", "p", huge.alias("huge"))).alias("parts"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["key", "content", "n", "shift", "bytes"]
+        names = ["key", "content", "n", "shift", "bytes", "huge"]
         for b in batches:
-            rows: list[list] = [[], [], [], [], []]
+            rows: list[list] = [[] for _ in names]
             size = 0
             for t, parts in zip(b.column(0), b.column(1)):
                 data = t.as_buffer().to_pybytes()
@@ -206,16 +233,18 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
                     part = data[x["s"] : x["e"] + length]
                     size += len(part)
                     before = x["p"] - x["s"]  # the anchor's column is `side` or, if the context is on its left, 2 * side
-                    for to, v in zip(rows, (x["key"], x["content"], x["n"], (2 * side if before > side else side) - before, part)):
+                    for to, v in zip(rows, (x["key"], x["content"], x["n"], (2 * side if before > side else side) - before, part, x["huge"])):
                         to.append(v)
                 if size > BLOCK_BYTES:
                     yield pa.RecordBatch.from_arrays([pa.array(r, ty) for r, ty in zip(rows, types)], names)
-                    rows, size = [[], [], [], [], []], 0
+                    rows, size = [[] for _ in names], 0
             yield pa.RecordBatch.from_arrays([pa.array(r, ty) for r, ty in zip(rows, types)], names)
 
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
     collection = texts.join(several, ["id", "mark"])
-    strings = collection.select("text", "parts").mapInArrow(cut, "key bigint, content bigint, n bigint, shift int, bytes binary")
+    strings = collection.select("text", "parts").mapInArrow(cut, "key bigint, content bigint, n bigint, shift int, bytes binary, huge boolean")
+    anew = not of_hot.filter(F.col("_kinds") > giant).isEmpty()
+    strings = stored(strings, "strings") if anew else strings
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -241,10 +270,14 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         if held:
             yield done(held)
 
-    masks = strings.repartition("key").sortWithinPartitions("key", "content").mapInArrow(build, "key bigint, content bigint, mask binary")
-    flags = distinct.filter("kinds = 1").select("key", "content", F.lit(None).cast("binary").alias("mask")).unionByName(masks)
+    masks = strings.filter("not huge").drop("huge").repartition("key").sortWithinPartitions("key", "content").mapInArrow(build, "key bigint, content bigint, mask binary")
+    if anew:
+        masks = masks.unionByName(_by_window(strings.filter("huge"), length))
+    flags = distinct.filter("kinds = 1 and n > 1").select("key", "content", F.lit(None).cast("binary").alias("mask")).unionByName(masks)
     flags = stored(flags.filter("mask is null or hex(mask) rlike '[^0]'"), "flags")
-    hits = seen.join(flags, ["key", "content"]).select("id", "mark", "s", "e", "mask").distinct()
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce(F.col("salts").cast("int"), F.lit(1)) - 1)).alias("salt")
+    flags = flags.join(salts, ["key", "content"], "left").select("key", "content", "mask", copies)
+    hits = seen.join(flags, ["key", "content", "salt"]).select("id", "mark", "s", "e", "mask").distinct()
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -263,6 +296,36 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
     return stored(found.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "z")).alias("places")), "spans")
 
 
+def _by_window(strings: DataFrame, length: int) -> DataFrame:
+    """key, content, mask of segments dealt anew by whole windows. strings: key, content, n, bytes, repeated rows once for each copy."""
+
+    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from xxhash import xxh3_64_intdigest
+
+        for b in batches:
+            for k, data in enumerate(b.column(3)):
+                data = data.as_py()
+                h = np.array([xxh3_64_intdigest(data[a : a + length]) for a in range(len(data) - length + 1)], np.uint64).view(np.int64)
+                same = lambda c: pa.array(np.full(len(h), b.column(c)[k].as_py(), np.int64))
+                yield pa.RecordBatch.from_arrays([same(0), same(1), same(2), pa.array(np.arange(len(h), dtype=np.int32)), pa.array(h)], ["key", "content", "n", "at", "h"])
+
+    def masks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for at in b.column(2):
+                at = np.array(at.as_py())
+                bits = np.zeros(at.max() + 1, np.uint8)
+                bits[at] = 1
+                out.append(np.packbits(bits).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["key", "content", "mask"])
+
+    once = strings.groupBy("key", "content").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"))
+    found = stored(once.mapInArrow(windows, "key bigint, content bigint, n bigint, at int, h bigint"), "windows")
+    repeated = found.groupBy("key", "h").agg(F.sum("n").alias("_n")).filter("_n > 1").select("key", "h")
+    hit = found.join(repeated, ["key", "h"]).groupBy("key", "content").agg(F.collect_list("at").alias("at"))
+    return hit.mapInArrow(masks, "key bigint, content bigint, mask binary")
+
+
 def _merged(places) -> list[tuple[int, int]]:
     out: list[list[int]] = []
     for s, z in sorted((p["s"], p["z"]) for p in places or ()):

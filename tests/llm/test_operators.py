@@ -61,6 +61,15 @@ def test_suffix(docs, empty):
     assert suffix.removal(empty).count() == 0
 
 
+def test_suffix_frequent_keys(docs):
+    """Salted keys and collections dealt anew by windows find the same strings."""
+    def places(**how):
+        return {(r["id"], r["mark"]): suffix._merged(r["places"]) for r in suffix.spans(docs, **how).collect()}
+
+    plain = places(share=1, hot=1 << 40)
+    assert plain and plain == places(share=1, hot=2) == places(share=2, hot=3) == places(share=1, hot=2, giant=1)
+
+
 def test_suffix_external_columns(docs, monkeypatch):
     args = (np.array([0, 0, 1]), np.array([1, 1, 2]), np.array([0, 1, 0]), [b"abcdef", b"bcdefg", b"zzzzz"], 8, 4)
     inside = suffix.repeats(*args)
