@@ -51,8 +51,14 @@ def nearest(src: DataFrame, dst: DataFrame, per_dst: int | None, budget: int | N
                 s, d = np.frombuffer(r["s_ids"], "<i8"), np.frombuffer(r["d_ids"], "<i8")
                 cos = np.round(np.frombuffer(r["s_x"]).reshape(len(s), -1) @ np.frombuffer(r["d_x"]).reshape(len(d), -1).T, 6)
                 ok = s[:, None] < d if unordered else s[:, None] != d
-                i, j = np.nonzero(ok if least is None else ok & (cos >= least))
+                ok = ok if least is None else ok & (cos >= least)
+                if per_dst is not None and per_dst < len(s):  # ties with the last one stay for the ids to settle
+                    ok &= cos >= -np.partition(np.where(ok, -cos, np.inf), per_dst - 1, axis=0)[per_dst - 1]
+                i, j = np.nonzero(ok)
                 c = cos[i, j]
+                if budget is not None and per_dst is None and budget < len(c):
+                    top = c >= -np.partition(-c, budget - 1)[budget - 1]
+                    i, j, c = i[top], j[top], c[top]
                 if per_dst is not None:
                     order = np.lexsort((s[i], -c, j))
                     i, j, c = i[order], j[order], c[order]

@@ -138,7 +138,9 @@ def test_sources(spark, tmp_path):
     assert [r.doc_slug for r in s.orderBy("pos").collect()] == ["a-b", "a-b-2"]
 
 
-@pytest.mark.parametrize("name", ["contested", "evidence_for", "weakest_link_scoped", "supporting_for", "fold_claims", "quality_flags", "merge_intervals", "kg_report"])
+@pytest.mark.parametrize("name", ["contested", "evidence_for", "weakest_link_scoped", "supporting_for", "fold_claims", "quality_flags", "merge_intervals", "kg_report",
+                                  "entailment_rerank", "cards_from_labels", "merge_cards", "store_violations", "retype_bridges", "label_batches", "review_priority", "nearby_sections", "document_bodies",
+                                  "coverage_gaps", "dedup_assembly", "synonym_edges", "fact_scores", "kg_top_degrees", "tier2_pairs", "pairing_funnel"])
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
     for t in ("lineitem", "events", "documents", "embeddings", "benchmark", "labels", "conversations"):
