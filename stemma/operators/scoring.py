@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.operators.closure import closure
 from stemma.operators.components import components
 from stemma.storage import stored
 
@@ -36,19 +37,19 @@ def score_graph(nodes: DataFrame, cards: DataFrame, keys: tuple[str, ...] = (),
     nodes = nodes.select(*k, own.cast("double").alias("base"))
     side = F.when(F.col("kind") == "RA", "s").when(F.col("kind").isin("CA", "PA"), "a").otherwise("a" if unknown_kind == "attack" else None)
     live = cards.filter("active").withColumn("side", side).filter("side is not null and size(premises) > 0").select(*keys, "card_id", "weight", "side", "target", "premises")
-    live = live.join(nodes.select(*keys, F.col("node_id").alias("target")), [*keys, "target"], "left_semi")
-    links = live.select(*keys, "card_id", "weight", "side", "target", F.size("premises").alias("n"), F.explode("premises").alias("node_id"))
-    known = links.join(nodes.select(*k), k, "left_semi")
-    whole = known.groupBy(*keys, "card_id").agg(F.count("*").alias("_n"))
-    links = stored(known.join(whole, [*keys, "card_id"]).filter("_n = n").drop("_n"), "links")
+    ends = [*keys, "target"]
+    live = live.join(nodes.select(*keys, F.col("node_id").alias("target"), "base"), ends).withColumn("n", F.size("premises"))
+    card = [*ends, "base", "card_id", "weight", "side", "n"]
+    known = live.select(*card, F.explode("premises").alias("node_id")).join(nodes.select(*k), k, "left_semi")
+    whole = stored(known.groupBy(*card).agg(F.collect_list("node_id").alias("premises")).filter("size(premises) = n"), "live")
+    links = stored(whole.join(whole.groupBy(*ends).agg(F.count("*").alias("need")), ends).select(*card, "need", F.explode("premises").alias("node_id")), "links")
     forces = F.collect_list(F.struct("side", "force", "card_id"))
 
     def sides(scored: DataFrame) -> DataFrame:
         """Nodes all of whose cards' premises are scored, with both sides."""
-        per_card = links.join(scored.select(*k, "strength"), k).groupBy(*keys, "card_id", "target", "side", "weight", "n").agg(F.count("*").alias("_n"), F.min("strength").alias("m")).filter("_n = n")
-        got = per_card.withColumn("force", F.col("weight") * F.col("m")).groupBy(*keys, "target").agg(forces.alias("f"), F.count("*").alias("_have"))
-        need = links.select(*keys, "target", "card_id").distinct().groupBy(*keys, "target").agg(F.count("*").alias("_need"))
-        return got.join(need, [*keys, "target"]).filter("_have = _need").select(*keys, F.col("target").alias("node_id"), F.expr("array_sort(f)").alias("f"))
+        per_card = links.join(scored.select(*k, "strength"), k).groupBy(*card, "need").agg(F.count("*").alias("_n"), F.min("strength").alias("m")).filter("_n = n")
+        got = per_card.withColumn("force", F.col("weight") * F.col("m")).groupBy(*ends, "base", "need").agg(forces.alias("f"), F.count("*").alias("_have")).filter("_have = need")
+        return got.select(*keys, F.col("target").alias("node_id"), "base", F.expr("array_sort(f)").alias("f"))
 
     def shaped(df: DataFrame) -> DataFrame:
         f = lambda s: F.expr(f"1D - aggregate(filter(f, x -> x.side = '{s}'), 1D, (p, x) -> p * (1D - x.force))")
@@ -62,7 +63,7 @@ def score_graph(nodes: DataFrame, cards: DataFrame, keys: tuple[str, ...] = (),
     scored = stored(shaped(nodes.join(targets, k, "left_anti").withColumn("card", F.lit(None).cast(card_type)).withColumn("f", empty)), "level")
     left = targets.count()
     while left:
-        level = stored(shaped(sides(scored).join(scored.select(*k), k, "left_anti").join(nodes, k)), "level")
+        level = stored(shaped(sides(scored).join(scored.select(*k), k, "left_anti")), "level")
         n = level.count()
         if not n:
             break
@@ -79,7 +80,7 @@ def _cyclic(rest: DataFrame, links: DataFrame, scored: DataFrame, keys: tuple[st
     tag = lambda c: F.concat_ws("\u0001", *keys, F.col(c).cast("string"))
     among = links.join(rest.select(*k), k, "left_semi").select(tag("node_id").alias("a"), tag("target").alias("b"))
     parts = components(among).withColumnRenamed("node", "_tag")
-    full = links.join(rest.select(*keys, F.col("node_id").alias("target")), [*keys, "target"], "left_semi").join(scored.select(*k, F.col("strength").alias("fixed")), k, "left")
+    full = links.drop("base").join(rest.select(*keys, F.col("node_id").alias("target")), [*keys, "target"], "left_semi").join(scored.select(*k, F.col("strength").alias("fixed")), k, "left")
     rows = full.withColumn("_tag", tag("target")).join(parts, "_tag", "left").withColumn("component", F.coalesce("component", "_tag")).join(rest.select(*keys, F.col("node_id").alias("target"), "base"), [*keys, "target"])
     types = dict(rows.dtypes)
 
@@ -111,11 +112,20 @@ def _cyclic(rest: DataFrame, links: DataFrame, scored: DataFrame, keys: tuple[st
 
 
 def ablate(nodes: DataFrame, cards: DataFrame, target, only: DataFrame | None = None, base: float = BASE) -> DataFrame:
-    """removed, delta (absolute change of the target's strength) for each active card, or each in `only`; all scenarios in one job."""
-    active = cards.filter("active")
-    removed = (active if only is None else active.join(only, "card_id", "left_semi")).select(F.col("card_id").alias("scenario"))
-    scenarios = active.join(removed, F.col("card_id") != F.col("scenario"), "inner")
-    graphs = nodes.join(removed, F.lit(True))
-    after = score_graph(graphs, scenarios, ("scenario",), base).filter(F.col("node_id") == target).select(F.col("scenario").alias("removed"), "strength")
-    before = score_graph(nodes, cards, (), base).filter(F.col("node_id") == target).select(F.col("strength").alias("_before"))
-    return after.join(before, F.lit(True)).select("removed", F.abs(F.col("strength") - F.col("_before")).alias("delta"))
+    """removed, delta (absolute change of the target's strength) for each active card, or each in `only`.
+
+    All scenarios, and the one that removes nothing, are one job over what the target depends on;
+    a card outside that moves nothing and has delta 0 without being scored."""
+    spark, active = cards.sparkSession, cards.filter("active")
+    asked = active if only is None else active.join(only, "card_id", "left_semi")
+    near = stored(active.join(closure(cards, target), "card_id", "left_semi"), "near")
+    gone = near.join(asked.select("card_id"), "card_id", "left_semi").select(F.col("card_id").alias("removed"), F.concat(F.lit("-"), F.col("card_id").cast("string")).alias("scenario"))
+    none = spark.range(1).select(F.lit(None).cast(dict(cards.dtypes)["card_id"]).alias("removed"), F.lit("").alias("scenario"))
+    every = stored(gone.unionByName(none), "scenarios")
+    scenarios = near.join(every, F.col("removed").isNull() | (F.col("card_id") != F.col("removed"))).drop("removed")
+    used = near.select(F.explode(F.concat("premises", F.array("target"))).alias("node_id")).distinct()
+    graphs = nodes.join(used, "node_id", "left_semi").join(every.select("scenario"), F.lit(True))
+    after = stored(score_graph(graphs, scenarios, ("scenario",), base).filter(F.col("node_id") == target).select("scenario", "strength"), "after")
+    before = after.filter("scenario = ''").select(F.col("strength").alias("_before"))
+    moved = after.join(every.filter("removed is not null"), "scenario").join(before, F.lit(True)).select("removed", F.abs(F.col("strength") - F.col("_before")).alias("delta"))
+    return asked.select(F.col("card_id").alias("removed")).join(moved, "removed", "left").fillna(0.0, ["delta"])

@@ -7,15 +7,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from stemma.operators.closure import closure, links
 from stemma.operators.scoring import ablate
 from stemma.storage import stored
 
 
-def links(cards: DataFrame) -> DataFrame:
-    """Active cards by premise: premise -> target with sign +1 (support) or -1."""
-    return cards.filter("active").select("card_id", "weight", "target", F.explode("premises").alias("premise"), F.when(F.col("kind") == "RA", 1).otherwise(-1).alias("sign"))
-
-
 def evidence_for(cards: DataFrame, scores: DataFrame, root, hops: int = 7) -> DataFrame:
     """path, depth, node_id, strength: every support path into root, repeated nodes once per path, hops 1 to 7."""
     support = stored(links(cards).filter("sign = 1").select("target", "premise"), "support")
@@ -30,18 +26,6 @@ def evidence_for(cards: DataFrame, scores: DataFrame, root, hops: int = 7) -> Da
     return reduce(DataFrame.unionByName, levels).join(scores.select("node_id", "strength"), "node_id", "left")
 
 
-def closure(cards: DataFrame, root) -> DataFrame:
-    """card_id of every card reachable backwards from root; cycles end."""
-    edges = stored(links(cards).select("card_id", "target", "premise"), "edges")
-    seen = stored(edges.filter(F.col("target") == root).select(F.col("target").alias("node_id")).distinct(), "seen")
-    front = seen
-    while True:
-        nxt = stored(edges.join(front, F.col("target") == F.col("node_id"), "left_semi").select(F.col("premise").alias("node_id")).distinct().join(seen, "node_id", "left_anti"), "front")
-        if nxt.isEmpty():
-            return edges.join(seen, F.col("target") == F.col("node_id"), "left_semi").select("card_id").distinct()
-        seen, front = seen.unionByName(nxt), nxt
-
-
 def polarized(cards: DataFrame, root, hops: int = 6) -> DataFrame:
     """(node_id, sign): nodes that support or negate root within so many hops; attack flips; the root is left out.
 
