@@ -14,7 +14,7 @@ from stemma.operators import retrieval as R
 from stemma.operators import walks as W
 from stemma.operators.components import components
 from stemma.plans.graph import WITH, graph, scores_sql
-from stemma.storage import stored, table
+from stemma.storage import spread, stored, table
 from stemma.streaming import events as V
 
 QUERIES: dict = {}
@@ -221,7 +221,7 @@ def quality_flags(spark, sf):
 
 @query()
 def chunk_documents(spark, sf):
-    docs = table(spark, sf, "documents").select("doc_id", "text")
+    docs = spread(table(spark, sf, "documents").select("doc_id", "text"))
     return O.chunks(docs).select("doc_id", "chunk_id", "ord", "n_tokens")
 
 
@@ -234,7 +234,7 @@ def flat_sections(spark, sf):
 
 @query("SELECT b.item_id, d.doc_id, (strpos(d.text, b.text) - 1)::INTEGER AS \"start\", (strpos(d.text, b.text) - 1 + length(b.text))::INTEGER AS \"end\" FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def locate_exact(spark, sf):
-    b, d = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle")), table(spark, sf, "documents").select("doc_id", "text")
+    b, d = table(spark, sf, "benchmark").select("item_id", F.col("text").alias("needle")), spread(table(spark, sf, "documents").select("doc_id", "text"))
     met = d.join(F.broadcast(b) if _small(b) else b, F.expr("contains(text, needle)"))
     return met.select("item_id", "doc_id", (F.expr("position(needle, text)") - 1).alias("start"), (F.expr("position(needle, text)") - 1 + F.length("needle")).cast("int").alias("end"))
 

@@ -29,6 +29,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt over the cluster's cores where its scan has fewer splits than that: for work that costs far more than moving the rows."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def discard(df: DataFrame) -> None:
     """Delete a stored() table that no later plan reads."""
     spark = df.sparkSession
