@@ -48,6 +48,29 @@ def antecedents(pronouns: DataFrame, named: DataFrame, top: int = 5) -> DataFram
     return ok.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("doc", "sentence", "mention", "entity_key", "score", "rank")
 
 
+def escalation(ranked: DataFrame, picks: DataFrame, keys: list[str], tiers: tuple[int, ...] = (5, 20)) -> DataFrame:
+    """keys, entity_key, shown, calls: how many candidates had been shown when the pick was among them; beyond the last tier the whole pool is. No call repeats a pool already shown whole. ranked: keys, entity_key, rank; picks: keys, entity_key."""
+    pool = ranked.groupBy(*keys).agg(F.count("*").alias("_pool"))
+    met = ranked.join(picks.select(*keys, "entity_key"), [*keys, "entity_key"]).join(pool, keys)
+    calls = F.lit(len(tiers) + 1)
+    for k, t in reversed(list(enumerate(tiers, 1))):
+        calls = F.when(F.col("rank") <= t, k).otherwise(calls)
+    shown = F.least(F.try_element_at(F.array(*map(F.lit, tiers)), calls), F.col("_pool")) if tiers else F.col("_pool")
+    return met.select(*keys, "entity_key", F.coalesce(shown, F.col("_pool")).cast("bigint").alias("shown"), calls.alias("calls"))
+
+
+def substitutions(picks: DataFrame, keys: list[str]) -> DataFrame:
+    """keys, payload: a sentence's mentions with what stands for them, in order. picks: keys, mention, surface, entity_key; rows without an entity are left out."""
+    kept = picks.filter("entity_key is not null")
+    return kept.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("mention", "surface", "entity_key"))).alias("payload"))
+
+
+def internal_refs(texts: DataFrame, sections: DataFrame, pattern: str) -> DataFrame:
+    """texts with `number`: the section that the text names, only where its document has one of that number. texts: doc, text; sections: doc, number."""
+    named = texts.withColumn("number", F.regexp_extract("text", pattern, 1)).filter("number <> ''")
+    return named.join(sections.select("doc", "number").distinct(), ["doc", "number"], "left_semi")
+
+
 def nearby_sections(sections: DataFrame) -> DataFrame:
     """doc, ord, near: itself, its parent and the three before it. sections: doc, ord, number."""
     s = sections.select("doc", F.col("ord").alias("near"), F.col("number").alias("_n"))

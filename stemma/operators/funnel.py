@@ -107,6 +107,16 @@ def ranked(pairs: DataFrame, total: int, prior: DataFrame | None = None) -> Data
     return out if prior is None else prior.unionByName(out, allowMissingColumns=True)
 
 
+def contradictions(nodes: DataFrame, contra: Column, cap: int, budget: int) -> DataFrame:
+    """src, dst, channel, cosine, confidence: unordered pairs within data and within argument, the cap/2 nearest of each, the `budget` best by `contra` (a contradiction score over src and dst)."""
+    found = None
+    for layer in ("data", "argument"):
+        side = nodes.filter(F.col("layer") == layer)
+        got = nearest(side, side, None, cap // 2, unordered=True)
+        found = got if found is None else found.unionByName(got)
+    return found.withColumns({"channel": F.lit("contradiction"), "confidence": contra}).orderBy(F.desc("confidence"), "src", "dst").limit(budget)
+
+
 def blended(cosine: Column, entail: Column, contra: Column) -> Column:
     """Confidence after entailment scoring."""
     near = F.greatest(F.lit(0.0), F.least(F.lit(1.0), (cosine - 0.7) / 0.3))

@@ -43,6 +43,20 @@ def test_golden_ablation(trial):
     assert got == pytest.approx({"card-3": 0.25, "card-1": 0.125, "card-2": 0.125, "card-4": 0.075}, abs=1e-9)
 
 
+def test_ablation_outside_the_closure(spark, trial):
+    nodes, cards = trial
+    more = cards.union(spark.createDataFrame([("card-5", "RA", 1.0, ["C5"], "C6x", True), ("card-6", "RA", 1.0, ["C1"], "C2", False)], cards.schema))
+    got = {r.removed: r.delta for r in ablate(nodes.union(spark.createDataFrame([("C6x", "claim")], nodes.schema)), more, "C5").collect()}
+    assert got == pytest.approx({"card-3": 0.25, "card-1": 0.125, "card-2": 0.125, "card-4": 0.075, "card-5": 0.0}, abs=1e-9)
+    assert ablate(nodes, cards, "C1").filter("delta <> 0").count() == 0
+
+
+def test_escalation(spark):
+    ranked = spark.createDataFrame([("s", f"e{i}", i) for i in range(1, 31)] + [("t", "e1", 1)], "k string, entity_key string, rank int")
+    picks = spark.createDataFrame([("s", "e25"), ("t", "e1")], "k string, entity_key string")
+    assert {tuple(r) for r in C.escalation(ranked, picks, ["k"]).collect()} == {("s", "e25", 30, 3), ("t", "e1", 1, 1)}
+
+
 def test_cycle(spark):
     nodes = spark.createDataFrame([("A",), ("B",), ("L",)], "node_id string")
     cards = spark.createDataFrame([("1", "CA", 1.0, ["A"], "B", True), ("2", "CA", 1.0, ["B"], "A", True)], "card_id string, kind string, weight double, premises array<string>, target string, active boolean")
@@ -140,10 +154,11 @@ def test_sources(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["contested", "evidence_for", "weakest_link_scoped", "supporting_for", "fold_claims", "quality_flags", "merge_intervals", "kg_report",
                                   "entailment_rerank", "cards_from_labels", "merge_cards", "store_violations", "retype_bridges", "label_batches", "review_priority", "nearby_sections", "document_bodies",
-                                  "coverage_gaps", "dedup_assembly", "synonym_edges", "fact_scores", "kg_top_degrees", "tier2_pairs", "pairing_funnel"])
+                                  "coverage_gaps", "dedup_assembly", "synonym_edges", "fact_scores", "kg_top_degrees", "tier2_pairs", "pairing_funnel",
+                                  "incremental_pairs", "contradiction_channel", "span_overlap_pairs", "contents_table", "heading_locations", "escalation_tiers", "decontextualised", "internal_refs", "response_cache", "token_budget", "document_slugs", "converted_types", "top_sources"])
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "events", "documents", "embeddings", "benchmark", "labels", "conversations"):
+    for t in ("part", "lineitem", "events", "documents", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
