@@ -42,7 +42,7 @@ from stemma.storage import stored
 
 LENGTH = 200
 GRAM = 16
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 1 << 20
 BATCH = 20_000
 MEMORY = 128 << 20
 SHARE = 64  # one document in so many shows which keys are frequent
