@@ -138,12 +138,17 @@ def groups(docs: DataFrame, id_col: str = "doc_id", radius: int = 3, bucket: int
     return rows.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
+def firsts(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each group. Rows that repeat a doc_id are one document; rows without one stay."""
-    chosen = groups(docs, "doc_id", radius).filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).count()
+    chosen = grouped.filter("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).count()
     chosen = stored(chosen, "chosen")
     once, more = chosen.filter("count = 1"), chosen.filter("count > 1")
     kept = docs.join(once, F.col("doc_id") == F.col("_kept"), "left_semi").unionByName(docs.filter("doc_id is null"))
     if not more.isEmpty():
         kept = kept.unionByName(docs.join(more, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]))
     return kept
+
+
+def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
+    """firsts() of groups()."""
+    return firsts(docs, groups(docs, "doc_id", radius))

@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from stemma.llm import chat, decontaminate, licenses, packing, pivots, shards, simhash, suffix, toxicity, urls
+from stemma.llm import chat, decontaminate, licenses, packing, pivots, shards, similar, simhash, suffix, toxicity, urls
 from stemma.llm.queries import QUERIES, RULES, tokenizer_path
 
 SF = "/root/testdata/sf0.001"
@@ -101,6 +101,43 @@ def test_simhash(docs, empty):
     assert simhash.groups(empty).count() == 0
 
 
+def test_near_duplicates(spark, docs, empty, monkeypatch):
+    """The pipeline's stage against all pairs' exact similarity, with copies on both sides of 0.8."""
+    rng = random.Random(8)
+    rows = [(d, t) for d, t in rows_of(docs)]
+    for _ in range(12):
+        base = [f"w{rng.randrange(5000)}" for _ in range(rng.choice([4, 9, 60, 300]))]
+        for edits in (0, 0, 1, 2, 3, 6):
+            w = list(base)
+            for k in rng.sample(range(len(w)), min(len(w), edits * len(w) // 60 + (edits > 0))):
+                w[k] = "edited"
+            rows.append((1000 + len(rows), " ".join(w)))
+
+    def bag(t):
+        w = re.findall("[^\x20\x09-\x0d]+", lower(t))
+        return {" ".join(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+
+    bags = [bag(t) for _, t in rows]
+    group = list(range(len(rows)))
+    linked = 0
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags[:i]):
+            if 10 * len(a & b) >= 8 * len(a | b):
+                linked += 0.8 <= len(a & b) / max(1, len(a | b)) < 0.95
+                x, y = group[i], group[j]
+                group = [y if g == x else g for g in group]
+    least = {g: min(r[0] for r, h in zip(rows, group) if h == g) for g in group}
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(set(least.values()))
+    assert linked > 10
+    for few, stars, sampled in ((similar.FEW, similar.STARS, similar.SAMPLED), (2, 2, 4), (2, 0, 1)):
+        monkeypatch.setattr(similar, "FEW", few)
+        monkeypatch.setattr(similar, "STARS", stars)
+        monkeypatch.setattr(similar, "SAMPLED", sampled)
+        assert sorted({r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, SF).collect()}) == want
+    assert similar.keep_one(docs).columns == docs.columns and similar.keep_one(empty).count() == 0
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
