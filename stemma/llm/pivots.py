@@ -144,8 +144,8 @@ def _one_size(rows: DataFrame, queries, size: int, n: int, top: float, k: int, a
                     floor[f["q"]] = f["s"]
                 other = q_ids[:, None] != ids
                 score = np.where(other, score, np.iinfo(np.int64).min)
-                if score.shape[1] > k:
-                    floor = np.maximum(floor, -np.partition(-score, k - 1, axis=1)[:, k - 1])
+                if score.shape[1] > k:  # negated, the least int64 would wrap and count as the best
+                    floor = np.maximum(floor, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
                 at, of = np.nonzero((score >= floor[:, None]) & other)
                 s, i = score[at, of], ids[of]
                 order = np.lexsort((i, -s, at))

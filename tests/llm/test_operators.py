@@ -216,6 +216,24 @@ def test_top_k(spark):
     assert pivots.top_k(df.limit(0), F.col("id") % 20 == 0).count() == 0
 
 
+def test_top_k_own_annulus(spark):
+    """A query whose whole top k lies in its own annulus, which holds more than k rows."""
+    rng = np.random.default_rng(5)
+    near = np.array([40.0, 0, 0, 0]) + 0.2 * rng.normal(size=(30, 4))
+    far = 5 * rng.normal(size=(60, 4))
+    far[0] = [-200, 0, 0, 0]  # the largest norm: raised to it, the near ones stay near
+    v = np.floor(64 * np.concatenate([near, far])).astype(int)
+    want = [(q, k + 1, c, -s) for q in range(0, 90, 20) for k, (s, c) in enumerate(sorted((-int(v[q] @ v[c]), c) for c in range(90) if c != q)[:7])]
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(np.concatenate([near, far]))], "vec_id long, embedding array<double>")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 1)  # ranges end annuli too
+    try:
+        got = pivots.top_k(df, F.col("id") % 20 == 0, k=7, annulus=100, chunk=5)
+        assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_toxicity(spark, docs, empty):
     rng = random.Random(2)
     rows = []
