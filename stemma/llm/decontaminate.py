@@ -11,7 +11,8 @@ Test windows are sent to executors in pieces of at most PIECE_BYTES of text each
 test set takes more passes over the index, whose hits are merged per document.
 
 Defined results: null and empty texts have no words and no hits; repeated documents each get
-a row; repeated items count by item_id; an item without words has no window; an empty
+a row; repeated items count by item_id; windows of
+rows without an item_id hit words but count as no item; an item without words has no window; an empty
 documents table gives no rows; an empty benchmark gives rows without hits. Extra columns are
 ignored.
 """
@@ -51,7 +52,7 @@ def windows_of(items: list[tuple[int, str | None]], size: int) -> dict[tuple[byt
         w = words_of((text or "").encode())
         for k in range(max(1, len(w) - size + 1)) if w else ():
             ids = found.setdefault(tuple(w[k : k + size]), [])
-            if item not in ids:
+            if item is not None and item not in ids:
                 ids.append(item)
     return found
 
@@ -186,6 +187,7 @@ def search(index: DataFrame, windows, near: int | None = None) -> DataFrame:
                     d = np.searchsorted(s.bases, a, "right") - 1
                     for k, x, y in zip(d.tolist(), (a - s.bases[d]).tolist(), (z - s.bases[d]).tolist()):
                         spans[k] += (x, y)
+                if docs:
                     both = np.unique(np.stack([np.concatenate(docs), np.concatenate(items)], 1), axis=0)
                     for k, i in both.tolist():
                         got[k].append(i)

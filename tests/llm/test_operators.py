@@ -200,6 +200,17 @@ def test_decontamination(spark, docs, empty, monkeypatch, piece):
     assert {r.doc_id for r in decontaminate.digest(decontaminate.matches(docs, near, near=1)).filter("contaminated").collect()} == {6}
 
 
+@pytest.mark.parametrize("piece", [decontaminate.PIECE_BYTES, 10])
+def test_decontamination_without_item_id(spark, monkeypatch, piece):
+    monkeypatch.setattr(decontaminate, "PIECE_BYTES", piece)
+    docs = spark.createDataFrame([(1, "a b c d"), (2, "c d x"), (3, "y")], "doc_id long, text string")
+    for items, found in (([(None, "b c")], {1: (2, 0), 2: (0, 0), 3: (0, 0)}), ([(None, "b c"), (7, "c d"), (None, "c d")], {1: (3, 1), 2: (2, 1), 3: (0, 0)})):
+        bench = spark.createDataFrame(items, "item_id long, text string")
+        got = decontaminate.digest(decontaminate.matches(docs, bench)).collect()
+        assert {r.doc_id: (r.n_hit, r.n_items) for r in got} == found and all(r.contaminated == (r.n_hit > 0) for r in got)
+    assert [r.doc_id for r in decontaminate.clean(docs, bench).collect()] == [3]
+
+
 def test_top_k(spark):
     rng = np.random.default_rng(1)
     rows = [(i, [float(x) for x in rng.normal(size=6)], "e") for i in range(300)] + [(i, [1.0] * 6, "e") for i in range(300, 340)]
