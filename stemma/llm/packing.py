@@ -144,7 +144,14 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
-    """[(((length, times), ...), sequences), ...] holding every length as often as the histogram says."""
+    """[(((length, times), ...), sequences), ...] holding every length as often as the histogram says.
+
+    Small lengths spent on completions are missing in best fit: of the plans with complements of up
+    to three, two and one lengths, each looked up in full, that of the fewest sequences is taken."""
+    return min((_plan(histogram, capacity, parts) for parts in (3, 2, 1)), key=lambda p: sum(n for _, n in p))
+
+
+def _plan(histogram: dict[int, int], capacity: int, parts: int) -> list[tuple[tuple[tuple[int, int], ...], int]]:
     left = np.zeros(capacity + 1, np.int64)
     for length, n in histogram.items():
         left[length] = n
@@ -162,29 +169,41 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
 
     if left[capacity]:
         use(capacity)
-    for big in range(capacity - 1, 0, -1):
+
+    def enough(*lengths: int) -> bool:
+        return all(left[x] >= lengths.count(x) for x in lengths)
+
+    def completion(big: int) -> tuple[int, ...] | None:
+        """At most `parts` lengths up to big that are left beside it and fill its gap; the largest first."""
         gap = capacity - big
-        if gap > big:
+        if gap <= big and enough(big, gap):
+            return (gap,)
+        if parts < 2:
+            return None
+        have = left[: big + 1] > 0  # the index of single lengths
+        a = np.arange(max((gap + 1) // 2, gap - big), min(gap - 1, big) + 1)
+        for x in a[have[a] & have[gap - a]][::-1].tolist():
+            if enough(big, x, gap - x):
+                return x, gap - x
+        if parts < 3:
+            return None
+        seen = np.fft.rfft(have, 2 * size)
+        pairs = np.fft.irfft(seen * seen, 2 * size) > 0.5  # that of pair sums
+        a = np.arange(max(1, gap - 2 * big), min(gap - 2, big) + 1)
+        for x in a[have[a] & pairs[gap - a]][::-1].tolist():
+            rest = gap - x
+            b = np.arange(max((rest + 1) // 2, rest - big), min(rest - 1, big) + 1)
+            for y in b[have[b] & have[rest - b]][::-1].tolist():
+                if enough(big, x, y, rest - y):
+                    return x, y, rest - y
+        return None
+
+    size = 1 << capacity.bit_length()
+    for big in range(capacity - 1, 0, -1):
+        if (parts + 1) * big < capacity:  # so many lengths up to big cannot fill the gap; longer ones had their turn
             break
-        if left[big]:
-            use(big, gap)
-        while left[big]:
-            have = left > 0  # the index of single lengths; have[a] & have[gap - a] that of pair sums
-            a = np.arange((gap + 1) // 2, gap)
-            fits = a[have[a] & have[gap - a]]
-            if not len(fits) or not any(use(big, int(x), gap - int(x)) for x in fits[::-1][:4]):
-                break
-        while left[big]:
-            have, hit = left > 0, None
-            for a in np.flatnonzero(have[: gap - 1])[::-1][:64]:  # the largest part first; the rest is a pair sum
-                rest = gap - int(a)
-                b = np.arange((rest + 1) // 2, rest)
-                b = b[(b <= a) & have[b] & have[rest - b]]
-                if len(b):
-                    hit = (big, int(a), int(b[-1]), rest - int(b[-1]))
-                    break
-            if not hit or not use(*hit):
-                break
+        while left[big] and (rest := completion(big)):
+            use(big, *rest)
     # best-fit decreasing on the residuals; open sequences are held by their gap
     by_gap: dict[int, list[tuple[tuple[tuple[int, int], ...], int]]] = {}
     gaps: list[int] = []

@@ -160,6 +160,21 @@ def test_packing(docs, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+@pytest.mark.parametrize("histogram, want", [({1100: 30, 1000: 60, 996: 30}, 30), ({3000: 5, 400: 5, 396: 5, 300: 5} | dict.fromkeys(range(1000, 1091), 4), None), ({1024: 9}, 3), ({1366: 10, 1365: 20}, 10), ({2048: 3, 1: 1}, 2)])
+def test_packing_completions(histogram, want):
+    """Complements are found whatever the largest length and however many lengths lie below the gap."""
+    plan = packing.plan(histogram)
+    held = Counter()
+    for pattern, n in plan:
+        assert sum(x * k for x, k in pattern) <= 4096
+        held.update({x: k * n for x, k in pattern})
+    assert +held == Counter(histogram)
+    if want is None:
+        assert (((3000, 1), (400, 1), (396, 1), (300, 1)), 5) in packing._plan(histogram, 4096, 3)
+    else:
+        assert sum(n for _, n in plan) == want
+
+
 def test_shards(docs, empty):
     got = shards.shard(docs, 5).collect()
     texts_of = dict(rows_of(docs))
