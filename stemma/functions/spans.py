@@ -49,15 +49,22 @@ def _loose(needle: str, text: str, threshold: float):
     p = h.find(n)
     if p >= 0:
         return at[p], at[p + len(n) - 1] + 1, 1.0, "exact"
-    size, best, where = min(len(n), len(h)), -1.0, 0
-    step = max(1, size // 8)
-    score = lambda p: 2 * lcs(n, h[p : p + size]) / (len(n) + min(size, len(h) - p))
-    for p in range(0, len(h) - size + 1, step):  # coarse starts, then the neighbourhood of the best
-        if (s := score(p)) > best:
-            best, where = s, p
-    for p in range(max(0, where - step + 1), min(len(h) - size, where + step - 1) + 1):
-        if (s := score(p)) > best or s == best and p < where:
-            best, where = s, p
+    size = min(len(n), len(h))
+    step, last = max(1, size // 8), len(h) - size
+    found = {p: lcs(n, h[p : p + size]) for p in range(0, last + 1, step)}  # coarse starts
+    most = max(found.values())
+    where = min(p for p, s in found.items() if s == most)
+    for g in sorted(found, key=lambda p: (-found[p], p)):  # a shift by one gains at most one
+        for p in range(max(0, g - step + 1), min(last, g + step - 1) + 1):
+            if p in found:
+                continue
+            left = p - p % step
+            reach = min(size, found[left] + p - left, found.get(left + step, size) + left + step - p)
+            if reach > most or reach == most and p < where:
+                s = found[p] = lcs(n, h[p : p + size])
+                if s > most or s == most and p < where:
+                    most, where = s, p
+    best = 2 * most / (len(n) + size)
     if best < threshold:
         return None, None, round(best, 4), "reject"
     return at[where], at[where + size - 1] + 1, round(best, 4), "fuzzy"

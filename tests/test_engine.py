@@ -170,3 +170,20 @@ def test_agrees_with_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).count() > 0 and set(plans.ORACLES) <= set(entry.queries())
+
+
+def test_fuzzy_location_of_near_passages():
+    """Against a full scan, with a better and a worse copy of the needle in one text."""
+    import random
+
+    from stemma.functions import spans
+
+    rng = random.Random(4)
+    say = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randint(2, 7))) for _ in range(n))
+    noisy = lambda t, share: "".join(rng.choice("abcdefghij") if c != " " and rng.random() < share else c for c in t)
+    for _ in range(60):
+        n = say(12)
+        h = " ".join([say(rng.randint(5, 15)), noisy(n, 0.17), say(rng.randint(5, 15)), noisy(n, 0.13), say(6)])
+        scores = [2 * spans.lcs(n, h[p : p + len(n)]) / (2 * len(n)) for p in range(len(h) - len(n) + 1)]
+        start, _, score, tier = spans._loose(n, h, 0.8)
+        assert score == round(max(scores), 4) and (start == scores.index(max(scores)) if tier == "fuzzy" else max(scores) < 0.8)
