@@ -21,9 +21,19 @@ def shared_dir(spark: SparkSession) -> str:
     return base
 
 
+#: Rows go to Python workers in batches of at most so many bytes: ten thousand long texts are no batch.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: lineage ends here and lost executors cost nothing."""
+    """df written as Parquet in the shared folder and read again: lineage ends here and lost executors cost nothing.
+
+    From here on the session's batches to Python hold at most BATCH_BYTES (or less, if so set)."""
     spark = df.sparkSession
+    now = spark.conf.get(_BATCH).lower()
+    if not now.isdecimal() or int(now) > BATCH_BYTES:
+        spark.conf.set(_BATCH, BATCH_BYTES)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
