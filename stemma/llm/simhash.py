@@ -10,8 +10,12 @@ spanning forest and never all pairs. A bucket of over BUCKET rows is dealt anew
 centres of small balls in the other segment: x and y within 3 meet at a centre within 1 of
 one and the rest of the other; such sub-buckets have at most some thousand rows.
 
-Defined results: null, empty and blank texts have fingerprint zero, linked like any other;
-repeated rows share a group; an empty table gives no rows; extra columns are ignored.
+A fingerprint held by a large share of the documents gets its component by broadcast.
+
+Defined results: null, empty and blank texts have fingerprint zero, linked like any other; very
+long texts are hashed whole; equal distances need no order, since all within reach link;
+repeated rows share a group; null doc_ids get a row and are no component's least; an empty table
+gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -24,23 +28,30 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from stemma.operators.components import components
+from stemma.operators.joins import hot_join
 from stemma.storage import stored
 
 BUCKET = 20_000
 
 
-def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+def digests(text: bytes, shingle: int = 3, seed: int = 42) -> bytes:
+    """XXH64 of every shingle in order, repeats included; nothing for a text without words."""
     from xxhash import xxh64_digest
 
     words = text.lower().split()  # bytes: only A-Z change; splits at 0x20 and 0x09-0x0D
     if not words:
-        return 0
+        return b""
     joined = b" ".join(words)
-    ends = np.cumsum([len(w) + 1 for w in words])
-    starts = (ends - [len(w) + 1 for w in words])[: max(1, len(words) - shingle + 1)].tolist()
+    lengths = np.array([len(w) + 1 for w in words])
+    ends = np.cumsum(lengths)
+    starts = (ends - lengths)[: max(1, len(words) - shingle + 1)].tolist()
     stops = (ends - 1)[min(shingle, len(words)) - 1 :].tolist()
-    digests = b"".join([xxh64_digest(joined[a:z], seed) for a, z in zip(starts, stops)])
-    bits = np.unpackbits(np.frombuffer(digests, np.uint8)).reshape(-1, 64)
+    return b"".join([xxh64_digest(joined[a:z], seed) for a, z in zip(starts, stops)])
+
+
+def majority(hashes: bytes) -> int:
+    """The fingerprint of digests(): a bit is 1 if set in over half of them."""
+    bits = np.unpackbits(np.frombuffer(hashes, np.uint8)).reshape(-1, 64)
     n, whole = len(bits), len(bits) // 255 * 255
     count = bits[whole:].sum(0, dtype=np.int64)
     if whole:
@@ -48,6 +59,10 @@ def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
     return int.from_bytes(np.packbits(2 * count > n).tobytes(), "big")
 
 
+def fingerprint(text: bytes, shingle: int = 3, seed: int = 42) -> int:
+    return majority(digests(text, shingle, seed))
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3) -> DataFrame:
     """doc_id, fp (the 64 bits as a signed long)."""
 
@@ -135,7 +150,7 @@ def groups(docs: DataFrame, id_col: str = "doc_id", radius: int = 3, bucket: int
     firsts = firsts.join(parts.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     least = firsts.groupBy("component").agg(F.min("first").alias("component_id"))
     of = firsts.join(least, "component").select("fp", "component_id")
-    return rows.join(of, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return hot_join(rows, of, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def firsts(docs: DataFrame, grouped: DataFrame) -> DataFrame:
@@ -147,8 +162,3 @@ def firsts(docs: DataFrame, grouped: DataFrame) -> DataFrame:
     if not more.isEmpty():
         kept = kept.unionByName(docs.join(more, F.col("doc_id") == F.col("_kept"), "left_semi").dropDuplicates(["doc_id"]))
     return kept
-
-
-def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """firsts() of groups()."""
-    return firsts(docs, groups(docs, "doc_id", radius))
