@@ -12,8 +12,9 @@ is built column by column: every round inserts one symbol of each segment, from
 refines the order of the suffixes by it and updates the common prefix of neighbours by range
 minima. Since segments that can match are aligned at their anchors, a round only has to order
 the suffixes inserted in it, within their collection; many collections share a round. Columns
-are laid out in the order of the rounds and read once, from an external file where they exceed
-MEMORY bytes. After the round of a window's first byte, neighbours with a common prefix of
+are laid out in the order of the rounds and read once in that order, from a file of the task's
+own where they exceed MEMORY bytes, as those of a full batch do; the file has no name, nobody
+else reads it, and it goes with the task. After the round of a window's first byte, neighbours with a common prefix of
 LENGTH are repeats, and so is a segment with a count over one.
 
 A passage in a large share of all documents puts its segments under one key. Such keys, and
@@ -22,8 +23,10 @@ this only places rows and decides no result. Their occurrences repeat, so that t
 count and lie anywhere; joins on them are salted. If such a collection has over GIANT distinct
 segments, it is dealt anew by whole windows, each a collection of one, whose count decides.
 
-Defined results: null is the empty text; texts below LENGTH bytes keep all; repeated rows
-remove each other wholly; strings are judged on the input; an empty table gives no rows; extra
+Segments are told apart by two independent 64-bit hashes, of anchor and context and of content.
+
+Defined results: null is the empty text; texts below LENGTH bytes keep all; very long texts are
+cut into segments like others; repeated rows remove each other wholly; strings are judged on the input; an empty table gives no rows; extra
 columns are ignored by removal() and kept by strip().
 """
 
@@ -44,7 +47,7 @@ LENGTH = 200
 GRAM = 16
 BLOCK_BYTES = 1 << 20
 BATCH = 20_000
-MEMORY = 128 << 20
+MEMORY = 4 << 20
 SHARE = 64  # one document in so many shows which keys are frequent
 HOT = 32  # occurrences there that make a key frequent
 LISTED = 200_000  # as many frequent keys are broadcast at most; beyond it they need more occurrences
@@ -146,7 +149,7 @@ def repeats(group: np.ndarray, count: np.ndarray, shift: np.ndarray, texts: list
         fence = np.r_[True, group[1:] != group[:-1]]  # order always runs through the groups in turn
         found = np.zeros(shape, bool)
         for c in range(columns - 1, -1, -1):
-            s = np.asarray(symbols[c])[order].astype(np.int64)
+            s = np.array(symbols[c])[order].astype(np.int64)
             code = base[order] | s
             if (code[1:] >= code[:-1]).all():  # this symbol changes no order
                 same = np.r_[False, code[1:] == code[:-1]] & (s > 0)
