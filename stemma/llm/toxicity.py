@@ -1,18 +1,24 @@
 """Toxicity scores from a factorization machine over hashed terms.
 
-A text's features are its distinct words, and each word's first letters (inflected and joined
-forms share them), hashed into 2^bits places. A present term's value is its log-odds between
-the classes in the fitted sample, smoothed towards none; terms of less than LEAST are left
-out, so that a long text's many ordinary words do not drown the telling one. The model adds,
-to a weight for each term, the inner product of two terms' factors for each pair, so that it
-can learn what words mean together: an insult beside a mention of a group.
+A text's features are its distinct words (even places) and each word's first letters (odd
+places; inflected and joined forms share them), hashed into 2^bits places. The model adds, to a
+weight for each term, the inner product of two terms' factors for each pair, so that it can
+learn what words mean together: an insult beside a mention of a group, or either of two words
+but not both.
+
+A term's value is its log-odds between the classes in the fitted sample, smoothed towards none,
+if these are at least LEAST. Every other word of at least SUPPORT sampled rows stays, as pairs
+may tell where its members do not: its value is twice the root of its share of the rows, from
+LOW to 1, so that a long text's many ordinary words do not drown the telling ones. Rarer terms
+without telling odds have nothing to learn from and are left out.
 
 It is fitted on at most SAMPLE labelled rows, those of least hash, whatever the corpus: a
 documented bound. Whole texts are scored, long ones as short ones; labels, languages, sources
-and ids are no inputs. The model (2^bits by factors + 1 floats) is sent to the executors.
+and ids are no inputs. The model (1 MB of places and some 10,000 terms) is sent to the executors.
 
 Defined results: null, empty and blank texts get the model's base score; repeated texts get
-equal scores; with no labelled row of either class everything scores the share of toxic rows
+equal scores; very long texts are scored whole; of rows that repeat a labelled doc_id one is
+fitted; with no labelled row of either class everything scores the share of toxic rows
 (0 without labels); null labels are left out; an empty table gives no rows; extra columns are
 ignored by judged() and kept by score() and keep_clean().
 """
@@ -28,56 +34,60 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BITS = 17
+BITS = 18
 FACTORS = 4
 SAMPLE = 24_000
 THRESHOLD = 0.3
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
 PREFIXES = (4, 5, 6)
 SMOOTH = 10.0
 LEAST = 1.0
-STEPS = 600
+SUPPORT = 20
+LOW = 0.2
+STEPS = 300
 
 _KEEP = string.ascii_letters.encode() + bytes(range(0x80, 0x100))
 _FOLD = bytes(ord(chr(b).lower()) if b < 0x80 and b in _KEEP else b if b in _KEEP else 0x20 for b in range(256))
 
 
 class Terms:
-    """Words -> hashed feature numbers; one per worker, with a bounded cache."""
+    """Words -> hashed feature numbers, or what `to` has for them where that is not negative; one per task, with a bounded cache."""
 
-    def __init__(self, bits: int = BITS):
-        self.mask, self.known = (1 << bits) - 1, {}
+    def __init__(self, bits: int = BITS, to: np.ndarray | None = None):
+        self.mask, self.to, self.known, self.before = (1 << bits) - 1, to, {}, {}
 
     def _of(self, word: bytes) -> tuple[int, ...]:
         from xxhash import xxh32_intdigest
 
         s = word.decode(errors="replace").lower()
-        names = {s} | {f"{s[:n]}-" for n in PREFIXES if len(s) > n}
-        return tuple(xxh32_intdigest(x, 7) & self.mask for x in sorted(names))
+        begins = {f"{s[:n]}-" for n in PREFIXES if len(s) > n}
+        found = (xxh32_intdigest(s, 7) & self.mask & ~1, *(xxh32_intdigest(x, 7) & self.mask | 1 for x in sorted(begins)))
+        return found if self.to is None else tuple(k for k in self.to[list(found)].tolist() if k >= 0)
 
     def features(self, text: bytes) -> np.ndarray:
-        words = set(text.translate(_FOLD).split())
-        known = self.known
-        if len(known) > CACHE_WORDS:
-            known.clear()
-        found: set[int] = set()
-        for w in words:
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.before = {}, self.known
+        known, found = self.known, set()
+        for w in set(text.translate(_FOLD).split()):
             x = known.get(w)
             if x is None:
-                x = known[w] = self._of(w)
-            found.update(x)
+                x = self.before.get(w)
+                x = known[w] = self._of(w) if x is None else x
+            if x:
+                found.update(x)
         return np.fromiter(found, np.int64, len(found))
 
 
 @dataclass
 class Machine:
     base: float
-    value: np.ndarray  # [2^bits], of a present term
-    weight: np.ndarray  # [2^bits]
-    factor: np.ndarray  # [2^bits, factors]
+    place: np.ndarray  # [2^bits], of a term among the model's own; -1: none
+    value: np.ndarray  # [terms], of a present term
+    weight: np.ndarray  # [terms]
+    factor: np.ndarray  # [terms, factors]
 
     def scores(self, rows: list[np.ndarray]) -> np.ndarray:
-        rows = [r[self.value[r] != 0] for r in rows]
+        """rows: the model's own terms of each text."""
         sizes = np.array([len(r) for r in rows])
         out = np.full(len(rows), self.base)
         full = np.flatnonzero(sizes)
@@ -94,19 +104,34 @@ def _forward(m: Machine, at: np.ndarray, cut: np.ndarray) -> tuple[np.ndarray, n
     return np.add.reduceat(m.weight[at] * m.value[at], cut) + 0.5 * (s * s - np.add.reduceat(v * v, cut)).sum(1), s, v
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 6, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Machine:
-    """Logistic loss, AdaGrad, small batches; small samples are gone through more often, for STEPS batches at least."""
+def _counts(rows: list[np.ndarray], size: int) -> np.ndarray:
+    out = np.zeros(size, np.int64)
+    for a in range(0, len(rows), 500):
+        out += np.bincount(np.concatenate(rows[a : a + 500]), minlength=size)
+    return out
+
+
+def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: int = FACTORS, epochs: int = 4, rate: float = 0.05, decay: float = 1e-4, seed: int = 11) -> Machine:
+    """Logistic loss, AdaGrad, small batches; small samples are gone through more often, for STEPS batches at least.
+
+    The list of rows is reduced in place to the terms that the model keeps."""
     size, share = 1 << bits, float(labels.mean()) if len(labels) else 0.0
     rng = np.random.default_rng(seed)
-    m = Machine(30.0 if share == 1 else -30.0, np.zeros(size), np.zeros(size), rng.normal(0, 0.01, (size, factors)))
     if not len(labels) or share in (0.0, 1.0):
-        return m
-    toxic, other = (np.bincount(np.concatenate([r for r, y in zip(rows, labels) if y == k]), minlength=size) for k in (1, 0))
+        return Machine(30.0 if share == 1 else -30.0, np.full(size, -1, np.int32), np.zeros(0), np.zeros(0), np.zeros((0, factors)))
+    toxic, other = (_counts([r for r, y in zip(rows, labels) if y == k], size) for k in (1, 0))
     odds = np.log((toxic + SMOOTH * share) / share) - np.log((other + SMOOTH * (1 - share)) / (1 - share))
-    m.value = np.where(np.abs(odds) >= LEAST, odds, 0)
-    rows = [r[m.value[r] != 0] for r in rows]
-    m.base, g_base = float(np.log(share / (1 - share))), 1.0
-    g_w, g_v = np.full(size, 1.0), np.full((size, factors), 1.0)
+    seen = toxic + other
+    plain = (np.arange(size) % 2 == 0) & (seen >= SUPPORT) & (seen < len(rows))
+    value = np.where(np.abs(odds) >= LEAST, odds, np.where(plain, np.clip(2 * np.sqrt(seen / len(rows)), LOW, 1), 0))
+    used = np.flatnonzero(value)
+    place = np.full(size, -1, np.int32)
+    place[used] = np.arange(len(used))
+    m = Machine(float(np.log(share / (1 - share))), place, value[used], np.zeros(len(used)), rng.normal(0, 0.01, (len(used), factors)))
+    for k, r in enumerate(rows):
+        mine = place[r]
+        rows[k] = mine[mine >= 0]
+    g_base, g_w, g_v = 1.0, np.ones(len(used)), np.full((len(used), factors), 0.01)
     for _ in range(max(epochs, -(-STEPS * 128 // len(rows)))):
         order = rng.permutation(len(rows))
         for a in range(0, len(order), 128):
@@ -119,10 +144,12 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, bits: int = BITS, factors: i
                 z, s, v = _forward(m, at, np.cumsum(sizes[full]) - sizes[full])
                 err[full] = 1 / (1 + np.exp(-np.clip(m.base + z, -30, 30))) - labels[part[full]]
                 of = np.repeat(np.arange(len(full)), sizes[full])
-                terms, back = np.unique(at, return_inverse=True)
-                pull = err[full][of] * m.value[at]
-                d_w = np.bincount(back, pull, len(terms)) + decay * m.weight[terms]
-                d_v = np.stack([np.bincount(back, pull * (s[of, f] - v[:, f]), len(terms)) for f in range(factors)], 1) + decay * m.factor[terms]
+                by = np.argsort(at, kind="stable")
+                first = np.flatnonzero(np.r_[True, np.diff(at[by]) > 0])
+                terms = at[by][first]
+                pull = (err[full][of] * m.value[at])[by]
+                d_w = np.add.reduceat(pull, first) + decay * m.weight[terms]
+                d_v = np.add.reduceat(pull[:, None] * (s[of] - v)[by], first) + decay * m.factor[terms]
                 g_w[terms] += d_w**2
                 g_v[terms] += d_v**2
                 m.weight[terms] -= rate * d_w / np.sqrt(g_w[terms])
@@ -140,7 +167,8 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
     """Fitted on the labelled rows that are not held out; texts become features on the executors."""
     marks = labels.filter(F.col(label).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label).alias("label")).filter(~held_out(id_col))
     chosen = marks.withColumn("_h", F.xxhash64(id_col)).orderBy("_h", id_col).limit(sample)
-    texts = docs.select(F.col(id_col).alias("_id"), text_col).join(F.broadcast(chosen), F.col("_id") == F.col(id_col)).select("_id", text_col, "label")
+    texts = docs.select(F.col(id_col).alias("_id"), F.coalesce(text_col, F.lit("")).alias("_text")).join(F.broadcast(chosen), F.col("_id") == F.col(id_col))
+    texts = texts.groupBy("_id").agg(F.min(F.struct(F.xxhash64("_text"), "_text"))["_text"].alias("_text"), F.first("label").alias("label")).select("_id", "_text", "label")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         terms = Terms()
@@ -148,8 +176,14 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             rows = [terms.features(t.as_buffer().to_pybytes()).astype("<i4").tobytes() if t.is_valid else b"" for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(rows, pa.binary())], ["id", "label", "terms"])
 
-    got = sorted(texts.mapInArrow(run, "id bigint, label int, terms binary").toLocalIterator(), key=lambda r: (r[0], r[2]))[: 2 * sample]
-    return fit([np.frombuffer(r["terms"], "<i4").astype(np.int64) for r in got], np.array([r["label"] for r in got], float))
+    ids, marked, rows = [], [], []  # at most `sample`
+    for r in texts.mapInArrow(run, "id bigint, label int, terms binary").toLocalIterator():
+        ids.append(r["id"])
+        marked.append(r["label"])
+        rows.append(np.frombuffer(bytes(r["terms"]), "<i4"))
+    order = np.argsort(ids).tolist()
+    rows[:] = [rows[k] for k in order]
+    return fit(rows, np.array([marked[k] for k in order], float))
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str = "score") -> DataFrame:
@@ -157,7 +191,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str =
     sent = docs.sparkSession.sparkContext.broadcast(machine)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms = Terms()
+        terms = Terms(len(sent.value.place).bit_length() - 1, sent.value.place)
         for b in batches:
             out = []
             for a in range(0, b.num_rows, 500):
