@@ -9,9 +9,9 @@ list of patterns (lengths in a sequence, how many such sequences). Pieces then f
 place by their rank within their length; ranks come from counts by hash bucket, so that a
 length held by a third of all pieces is still spread over many tasks.
 
-Tokenising goes word by word: the tokenizer given never joins characters across ASCII white
-space, so a text's ids are the ids of its words in order, and words repeat. Each worker keeps
-a cache of at most CACHE_WORDS words.
+Tokenising goes word by word where the tokenizer never joins characters across ASCII white
+space, so that a text's ids are the ids of its words in order, and words repeat; each task
+asks its tokenizer about that and keeps a cache of some 2 * CACHE_WORDS words (80 MB), the longest unused going first.
 
 Defined results: a null or empty text is one piece holding the end id; equal texts are packed
 separately; an empty table packs nothing; extra columns are ignored.
@@ -20,6 +20,8 @@ separately; an empty table packs nothing; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -31,61 +33,92 @@ from pyspark.sql import functions as F
 from stemma.storage import stored
 
 CAPACITY = 4096
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 200_000
 BLOCK_BYTES = 4 << 20
 PER_BUCKET = 4000
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+#: Words that are one run of letters and then ASCII punctuation, in the Latin-1 letters, which no normalisation joins or splits.
+_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)").fullmatch
+#: What a tokenizer must agree on with itself before its words are taken one by one.
+_PROBES = ["It's a test, isn't it?! (Really) 42.5% of \u00c9T\u00c9s\u2026 #tag \u00fcber-gro\u00dfz\u00fcgig", "\u03a3\u0391\u03a3 \u0130x e\u0301 \u00e9 n\u0303andu 'S 't x's a'b ''s", "word... %%% $$$word word*** -- a_b c\\d \u4e2d\u6587\u3002 \U0001f600ok", "A.B.C d/e/f 0641917ea4 <b>x</b> \u00d7\u00f7 \u00aa\u00ba\u00b5"]
+
+
+def _byte_letters() -> dict[int, str]:
+    """The visible character by which byte-level tokenizers write each byte: itself where it is printable Latin-1, else the next one from U+0100 on."""
+    shown = [b for b in range(256) if 0x21 <= b <= 0x7E or 0xA1 <= b <= 0xFF and b != 0xAD]
+    rest = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
+
+
 class WordTokenizer:
-    """ids of words as little-endian bytes; for tokenizers that never join characters across ASCII white space."""
+    """ids of texts as little-endian bytes.
+
+    Where the tokenizer gives for texts what it gives for their words (it is asked about _PROBES),
+    words are taken one by one and cached; a plain word goes to its merges without the tokenizer's
+    normalisation and splitting, if that too agrees. Otherwise whole texts are encoded."""
 
     def __init__(self, json: str):
         from tokenizers import Tokenizer
 
         self.of = Tokenizer.from_str(json)
         self.of.no_truncation()
-        self.known: dict[bytes, bytes] = {}
-
-    @staticmethod
-    def _letters(s: str) -> bool:
-        """Whether s is one run of letters before and after normalisation."""
-        return s.isalpha() and (s.isascii() or (max(s) < "ɐ" and "İ" not in s))
+        self.known: dict[bytes, bytes] = {}  # and what was known before it last grew full
+        self.before: dict[bytes, bytes] = {}
+        self.merges, self.letters = self.of.model.tokenize, _byte_letters()
+        self.by_core = all(self._core(w.encode()) == self._whole(w) for w in ("word", "Stra\u00dfe", "\u00c9T\u00c9", "na\u00efve", "ing", "x"))
+        words = [w for p in _PROBES for w in p.split()]
+        self.by_word = all(b"".join(map(self.one, p.encode().split())) == self._whole(p) for p in _PROBES) and self._whole(" ".join(words)) == b"".join(map(self._whole, words))
+
+    def _whole(self, text: str) -> bytes:
+        return np.asarray(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _core(self, core: bytes) -> bytes:
+        """Of one run of Latin-1 letters."""
+        core = core.lower() if core.isascii() else core.decode().lower().encode()
+        return struct.pack(f"<{len(t := self.merges(core.decode('latin-1').translate(self.letters)))}I", *[x.id for x in t])
+
+    def one(self, word: bytes) -> bytes:
+        got = self.known.get(word)
+        if got is None:
+            self.learn({word})
+            got = self.known[word]
+        return got
 
     def learn(self, words: set[bytes]) -> None:
-        if len(self.known) + len(words) > CACHE_WORDS:
-            self.known.clear()
-        runs: dict[str, list[tuple[bytes, str]]] = {}
-        odd: dict[str, list[tuple[bytes, str]]] = {}
-        for w in words - self.known.keys():
-            s = w.decode()
-            if s.isascii():
-                s = s.lower()
-            core, tail = (s[:-1], s[-1]) if len(s) > 1 and s[-1] in ".," and s[-2].isalpha() else (s, "")
-            to = runs if self._letters(core) else odd
-            to.setdefault(core, []).append((w, tail))
-        tails = {x: np.asarray(self.of.encode(x, add_special_tokens=False).ids, "<u4").tobytes() for x in ".,"} | {"": b""}
-        keys = list(runs)
-        for a in range(0, len(keys), 20_000):
-            part = keys[a : a + 20_000]
-            e = self.of.encode(" ".join(part), add_special_tokens=False)
-            ids, which = np.asarray(e.ids, "<u4"), np.asarray(e.word_ids)
-            at = np.searchsorted(which, np.arange(len(part) + 1))
-            if which[-1] != len(part) - 1:
-                odd |= {k: runs[k] for k in part}
+        if len(self.known) > CACHE_WORDS:
+            self.known, self.before = {}, self.known
+        known, cores, tails, odd = self.known, {}, {b"": b""}, []
+        new = words - known.keys()
+        again = new & self.before.keys()
+        known.update((w, self.before[w]) for w in again)
+        for w in new - again:
+            m = _PLAIN(w) if self.by_core else None
+            if m is None:
+                odd.append(w)
                 continue
-            data, cut = ids.tobytes(), (4 * at).tolist()
-            for k, x, y in zip(part, cut, cut[1:]):
-                for w, tail in runs[k]:
-                    self.known[w] = data[x:y] + tails[tail]
-        keys = list(odd)
-        for k, e in zip(keys, self.of.encode_batch(keys, add_special_tokens=False) if keys else ()):
+            core, tail = m.groups()
+            ids = cores.get(core)
+            if ids is None:
+                ids = cores[core] = self._core(core)
+            end = tails.get(tail)
+            if end is None:
+                end = tails[tail] = self._whole(tail.decode())
+            known[w] = ids + end
+        for a in range(0, len(odd), 20_000):
+            part = [w.decode() for w in odd[a : a + 20_000]]
+            e = self.of.encode(" ".join(part), add_special_tokens=False)
+            first = np.array([x for x, _ in e.offsets], np.int64)
+            at = 4 * np.searchsorted(first, np.cumsum([0, *(len(w) + 1 for w in part)]))
             data = np.asarray(e.ids, "<u4").tobytes()
-            for w, tail in odd[k]:
-                self.known[w] = data + tails[tail]
+            known.update(zip(odd[a : a + 20_000], (data[x:y] for x, y in zip(at.tolist(), at[1:].tolist()))))
 
     def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
+        if not self.by_word:
+            yield from (self._whole(t.decode()) for t in texts)
+            return
         split = [t.split() for t in texts]
         self.learn(set().union(*split))
         get = self.known.__getitem__
@@ -93,16 +126,6 @@ class WordTokenizer:
             yield b"".join(map(get, words))
 
 
-_workers: dict[str, WordTokenizer] = {}
-
-
-def _tokenizer(key: str, broadcast) -> WordTokenizer:
-    """One per worker process, so that its cache outlives a task."""
-    if key not in _workers:
-        _workers[key] = WordTokenizer(broadcast.value)
-    return _workers[key]
-
-
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:
     """PIECE_SCHEMA rows (with_ids: and the ids). tokenizer: the file, read here and sent to the executors (some MB)."""
     with open(tokenizer, encoding="utf-8") as f:
@@ -110,7 +133,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
     end = end_id.to_bytes(4, "little")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok = _tokenizer(tokenizer, sent)
+        tok = WordTokenizer(sent.value)  # for this task: the worker keeps no cache for the stages after it
         ids, texts, size = [], [], 0
 
         def done() -> pa.RecordBatch:
