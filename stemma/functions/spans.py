@@ -1,26 +1,26 @@
-"""Quote location: exact, then normalised, then fuzzy for what is left."""
+"""Quote location: exact, then by words whatever their case and white space, then fuzzy for what is left."""
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def _folded(s: str) -> tuple[str, list[int]]:
-    out, at, gap = [], [], False
-    for i, ch in enumerate(s):
-        if ch.isspace():
-            if not gap:
-                out.append(" ")
-                at.append(i)
-            gap = True
-        else:
-            gap = False
-            for c in ch.lower():
-                out.append(c)
-                at.append(i)
-    return "".join(out), at
+def _compact(text: str) -> tuple[str, np.ndarray]:
+    """text in lower case with one blank for each run of white space, and the place in text of each character of that."""
+    blank = np.fromiter(map(str.isspace, text), bool, len(text))
+    kept = np.flatnonzero(~(blank & np.r_[False, blank[:-1]]))
+    small = (" " if blank[i] else c if len(c := text[i].lower()) == 1 else text[i] for i in kept.tolist())
+    return "".join(small), kept
+
+
+def _pattern(needle: Column) -> Column:
+    """The needle's words, literally but in any case, with any white space between; null without words."""
+    words = F.filter(F.split(needle, r"\s+"), lambda w: w != "")
+    quoted = F.transform(words, lambda w: F.concat(F.lit("\\Q"), F.replace(w, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit("\\E")))
+    return F.when(F.size(words) > 0, F.concat(F.lit("(?iu)"), F.array_join(quoted, "\\s+")))
 
 
 def lcs(a: str, b: str) -> int:
@@ -41,14 +41,11 @@ def ratio(a: str, b: str) -> float:
     return 2 * lcs(a, b) / (len(a) + len(b)) if a or b else 1.0
 
 
-def _loose(needle: str, text: str, threshold: float):
-    """Tiers two and three -> (start, end, score, tier)."""
-    n, (h, at) = " ".join((needle or "").lower().split()), _folded(text or "")
+def _fuzzy(needle: str, text: str, threshold: float):
+    """The best window of the needle's length by common subsequence, the earliest among equals -> (start, end, score, tier)."""
+    n, (h, at) = " ".join((needle or "").lower().split()), _compact(text or "")
     if not n or not h:
         return None, None, 0.0, "reject"
-    p = h.find(n)
-    if p >= 0:
-        return at[p], at[p + len(n) - 1] + 1, 1.0, "exact"
     size = min(len(n), len(h))
     step, last = max(1, size // 8), len(h) - size
     found = {p: lcs(n, h[p : p + size]) for p in range(0, last + 1, step)}  # coarse starts
@@ -67,19 +64,24 @@ def _loose(needle: str, text: str, threshold: float):
     best = 2 * most / (len(n) + size)
     if best < threshold:
         return None, None, round(best, 4), "reject"
-    return at[where], at[where + size - 1] + 1, round(best, 4), "fuzzy"
+    return int(at[where]), int(at[where + size - 1]) + 1, round(best, 4), "fuzzy"
 
 
 def locate(pairs: DataFrame, needle: str = "needle", text: str = "text", threshold: float = 0.85) -> DataFrame:
-    """pairs with start, end, score, tier. Python sees only the rows without an exact hit."""
-    found = pairs.withColumn("_at", F.when((F.coalesce(F.length(needle), F.lit(0)) > 0) & (F.coalesce(F.length(text), F.lit(0)) > 0), F.expr(f"position(`{needle}`, `{text}`) - 1")).otherwise(F.lit(-1)))
-    exact = found.filter("_at >= 0").select(*pairs.columns, F.col("_at").alias("start"), (F.col("_at") + F.length(needle)).alias("end"), F.lit(1.0).alias("score"), F.lit("exact").alias("tier"))
+    """pairs with start, end, score, tier. Python sees only rows that neither of the first two tiers finds.
+
+    Null or blank needles and texts are rejected; among equal places the first counts."""
+    there = (F.coalesce(F.length(needle), F.lit(0)) > 0) & (F.coalesce(F.length(text), F.lit(0)) > 0)
+    found = pairs.withColumn("_at", F.when(there, F.expr(f"position(`{needle}`, `{text}`) - 1")).otherwise(F.lit(-1))).withColumn("_len", F.length(needle))
+    found = found.withColumn("_words", F.when(there & (F.col("_at") < 0), F.regexp_substr(text, _pattern(F.col(needle)))))
+    found = found.withColumns({"_at": F.when(F.col("_words").isNotNull(), F.expr(f"position(_words, `{text}`) - 1")).otherwise(F.col("_at")), "_len": F.coalesce(F.length("_words"), "_len")})
+    exact = found.filter("_at >= 0").select(*pairs.columns, F.col("_at").alias("start"), (F.col("_at") + F.col("_len")).alias("end"), F.lit(1.0).alias("score"), F.lit("exact").alias("tier"))
 
     @F.pandas_udf("start int, end int, score double, tier string")
-    def loose(n: pd.Series, t: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([_loose(a, b, threshold) for a, b in zip(n, t)], columns=["start", "end", "score", "tier"]).astype({"start": "Int32", "end": "Int32"})
+    def fuzzy(n: pd.Series, t: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([_fuzzy(a, b, threshold) for a, b in zip(n, t)], columns=["start", "end", "score", "tier"]).astype({"start": "Int32", "end": "Int32"})
 
-    rest = found.filter("_at < 0").withColumn("_m", loose(needle, text)).select(*pairs.columns, "_m.start", "_m.end", "_m.score", "_m.tier")
+    rest = found.filter("_at < 0").withColumn("_m", fuzzy(needle, text)).select(*pairs.columns, "_m.start", "_m.end", "_m.score", "_m.tier")
     return exact.unionByName(rest)
 
 

@@ -37,9 +37,15 @@ def fingerprint(c: Column) -> Column:
     return F.concat(F.lit("fp-"), F.substring(F.sha1(normalized(c)), 1, 16))
 
 
+# Where sentences end, numeric tokens and list markers.
+SENTENCE_END = r"(?<=[.!?])\s+(?=[A-Z\"'(\[]|\d)"
+NUMBER = r"(-?\d[\d,]*(?:\.\d+)?%?)"
+LIST_MARKER = r"^(\d{1,2}[.)]|[a-zA-Z][.)]|[•‣◦⁃∙*\-])\s+"
+
+
 def sentences(c: Column) -> Column:
     flat = F.replace(F.regexp_replace(c, "\n{2,}", "\n\n"), F.lit("\n"), F.lit(" "))
-    return F.filter(F.transform(F.split(flat, r"(?<=[.!?])\s+(?=[A-Z\"'(\[]|\d)"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(flat, SENTENCE_END), F.trim), lambda x: x != "")
 
 
 def n_words(c: Column) -> Column:
@@ -48,7 +54,7 @@ def n_words(c: Column) -> Column:
 
 def numbers(c: Column) -> Column:
     """Sorted distinct numeric tokens, commas dropped."""
-    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"(-?\d[\d,]*(?:\.\d+)?%?)"), F.lit(1))
+    found = F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(NUMBER), F.lit(1))
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.replace(x, F.lit(","), F.lit("")))))
 
 
@@ -60,8 +66,11 @@ def numeric_conflict(a: Column, b: Column) -> Column:
 GENERIC = "market|model|proposal|paper|study|calculation|argument|analysis|debate|hypothesis|author|judge|estimate|result|results|data|evidence|finding|findings|explanation|claim|scenario|approach|method|framework|assessment|conclusion|report|document|figure|table|section"
 PRONOUNS = "it|this|that|these|those|they|he|she|its|their|his|her"
 QUANTITIES = "two|three|four|five|six|several|multiple|numerous|various"
-STOPWORDS = ("the this that these those they he she it its a an and but or if when while although because since as for one two three four five "
-             "several multiple also however overall in on at to of is are was were i not so yet").split()
+STOPWORDS = [
+    "the", "this", "that", "these", "those", "they", "he", "she", "it", "its", "a", "an", "and", "but", "or", "if", "when", "while", "although",
+    "because", "since", "as", "for", "one", "two", "three", "four", "five", "several", "multiple", "also", "however", "overall", "in", "on", "at",
+    "to", "of", "is", "are", "was", "were", "i", "not", "so", "yet",
+]
 
 
 def quality_flags(c: Column) -> Column:
@@ -80,7 +89,7 @@ def quality_flags(c: Column) -> Column:
 def sentence_kind(c: Column) -> Column:
     t = F.trim(c)
     digits = F.length(t) - F.length(F.regexp_replace(t, "[0-9]", ""))
-    return (F.when(t.rlike(r"^(\d{1,2}[.)]|[a-zA-Z][.)]|[•‣◦⁃∙*\-])\s+"), "list_item")
+    return (F.when(t.rlike(LIST_MARKER), "list_item")
             .when((digits / F.greatest(F.length(t), F.lit(1)) > 0.15) | (F.regexp_count(t, F.lit(r"\d[\d.,%]*")) >= 4), "table_row").otherwise("prose"))
 
 

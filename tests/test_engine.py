@@ -185,5 +185,5 @@ def test_fuzzy_location_of_near_passages():
         n = say(12)
         h = " ".join([say(rng.randint(5, 15)), noisy(n, 0.17), say(rng.randint(5, 15)), noisy(n, 0.13), say(6)])
         scores = [2 * spans.lcs(n, h[p : p + len(n)]) / (2 * len(n)) for p in range(len(h) - len(n) + 1)]
-        start, _, score, tier = spans._loose(n, h, 0.8)
+        start, _, score, tier = spans._fuzzy(n, h, 0.8)
         assert score == round(max(scores), 4) and (start == scores.index(max(scores)) if tier == "fuzzy" else max(scores) < 0.8)
