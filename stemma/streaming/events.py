@@ -30,6 +30,11 @@ def cards(events: DataFrame) -> DataFrame:
     return got.filter("_a is not null").select("key", "payload", (F.coalesce("_d", F.lit(-1)) < F.col("_a")).alias("active"))
 
 
+def latest(events: DataFrame, event_type: str) -> DataFrame:
+    """key, payload: the last event of a type by key, as scores, verdicts and attributions are folded."""
+    return events.filter(F.col("event_type") == event_type).groupBy("key").agg(F.max_by("payload", "seq").alias("payload"))
+
+
 def operative_roles(votes: DataFrame, primary: str) -> DataFrame:
     """claim_id, role, agreement: primary model's primary pass, else its last real vote, else the last real one, else the last. votes: claim_id, model, pass, role, seq."""
     real = F.col("role") != "UNPARSED"

@@ -155,10 +155,12 @@ def test_sources(spark, tmp_path):
 @pytest.mark.parametrize("name", ["contested", "evidence_for", "weakest_link_scoped", "supporting_for", "fold_claims", "quality_flags", "merge_intervals", "kg_report",
                                   "entailment_rerank", "cards_from_labels", "merge_cards", "store_violations", "retype_bridges", "label_batches", "review_priority", "nearby_sections", "document_bodies",
                                   "coverage_gaps", "dedup_assembly", "synonym_edges", "fact_scores", "kg_top_degrees", "tier2_pairs", "pairing_funnel",
-                                  "incremental_pairs", "contradiction_channel", "span_overlap_pairs", "contents_table", "heading_locations", "escalation_tiers", "decontextualised", "internal_refs", "response_cache", "token_budget", "document_slugs", "converted_types", "top_sources"])
+                                  "incremental_pairs", "contradiction_channel", "span_overlap_pairs", "contents_table", "heading_locations", "escalation_tiers", "decontextualised", "internal_refs", "response_cache", "token_budget", "document_slugs", "converted_types", "top_sources",
+                                  "extraction_requests", "combined_nodes", "top_level_hypotheses", "provenance_without_document", "first_votes", "tagging_done", "node_roles", "leaking_cards", "card_documents", "typed_summary",
+                                  "coverage_report", "seed_weights", "hashed_ids", "fold_latest", "replay_differences"])
 def test_agrees_with_sql(spark, name):
     con = duckdb.connect()
-    for t in ("part", "lineitem", "events", "documents", "embeddings", "benchmark", "labels", "conversations"):
+    for t in ("part", "lineitem", "orders", "events", "documents", "embeddings", "benchmark", "labels", "conversations"):
         con.execute(f"create view {t} as select * from read_parquet('{SF}/{t}.parquet')")
     df = entry.queries()[name](spark, SF)
     cols = sorted(df.columns)
