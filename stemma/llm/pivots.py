@@ -14,9 +14,10 @@ choice; all vectors are indexed. Annuli are sized so that their list, which chun
 full, has at most some MAX_ANNULI entries.
 
 Defined results: vectors that are null, or hold null or non-finite components, and null ids
-take no part; vectors of different lengths are not compared; equal scores rank by id; repeated
-ids are one row's own and never their own candidates; with fewer candidates all are returned;
-an empty table gives no rows; extra columns are ignored.
+take no part; vectors of different lengths are not compared; equal scores rank by id; of rows
+that repeat an id each is a query and a candidate of the others, so that such an id has several
+rows of a rank; with fewer candidates all are returned; an empty table gives no rows; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -67,14 +68,14 @@ def _matrix(column: pa.Array, size: int) -> np.ndarray:
 
 
 def _packed(rows: DataFrame, pivots, top: float, size: int, query: bool, limit: int) -> DataFrame:
-    """Annuli (or chunks of queries) of at most limit rows: name, pivot, near, far, n, ids, vectors; a chunk may hold several pivots' rows."""
+    """Annuli (or chunks of queries) of at most limit rows: name, pivot, near, far, n, ids, keys, vectors; a chunk may hold several pivots' rows."""
 
     def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             x = _matrix(b.column("v"), size)
             d = _distances(np.c_[x, np.zeros(len(x)) if query else np.sqrt(np.maximum(top - (x**2).sum(1), 0))], pivots.value)
             p = d.argmin(1)
-            yield pa.RecordBatch.from_arrays([b.column("id"), pa.array(p.astype(np.int32)), pa.array(d[np.arange(len(p)), p]), pa.array([r.tobytes() for r in x.astype("<i8")], pa.binary())], ["id", "pivot", "d", "vector"])
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("key"), pa.array(p.astype(np.int32)), pa.array(d[np.arange(len(p)), p]), pa.array([r.tobytes() for r in x.astype("<i8")], pa.binary())], ["id", "key", "pivot", "d", "vector"])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -82,26 +83,26 @@ def _packed(rows: DataFrame, pivots, top: float, size: int, query: bool, limit:
         part, k, held = TaskContext.get().partitionId(), 0, []
 
         def done() -> pa.RecordBatch:
-            ids, ps, ds, vs = zip(*held)
-            return pa.RecordBatch.from_pydict({"name": pa.array([part * 2**32 + k], pa.int64()), "pivot": pa.array([ps[0]], pa.int32()), "near": [min(ds)], "far": [max(ds)], "n": pa.array([len(ids)], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "vectors": [b"".join(vs)]})
+            ids, keys, ps, ds, vs = zip(*held)
+            return pa.RecordBatch.from_pydict({"name": pa.array([part * 2**32 + k], pa.int64()), "pivot": pa.array([ps[0]], pa.int32()), "near": [min(ds)], "far": [max(ds)], "n": pa.array([len(ids)], pa.int32()), "ids": [np.array(ids, "<i8").tobytes()], "keys": [np.array(keys, "<i8").tobytes()], "vectors": [b"".join(vs)]})
 
         for b in batches:
             for row in zip(*(c.to_pylist() for c in b.columns)):
-                if held and (len(held) >= limit or not query and row[1] != held[-1][1]):
+                if held and (len(held) >= limit or not query and row[2] != held[-1][2]):
                     yield done()
                     held, k = [], k + 1
                 held.append(row)
         if held:
             yield done()
 
-    keyed = rows.select("id", "v").mapInArrow(key, "id bigint, pivot int, d double, vector binary")
-    return keyed.repartitionByRange("pivot", "d", "id").sortWithinPartitions("pivot", "d", "id").mapInArrow(pack, "name bigint, pivot int, near double, far double, n int, ids binary, vectors binary")
+    keyed = rows.select("id", "key", "v").mapInArrow(key, "id bigint, key bigint, pivot int, d double, vector binary")
+    return keyed.repartitionByRange("pivot", "d", "id", "key").sortWithinPartitions("pivot", "d", "id", "key").mapInArrow(pack, "name bigint, pivot int, near double, far double, n int, ids binary, keys binary, vectors binary")
 
 
 def _one_size(rows: DataFrame, queries, size: int, n: int, top: float, k: int, annulus: int, chunk: int) -> DataFrame:
     spark = rows.sparkSession
-    sample = rows.select("id", "v").withColumn("_h", F.xxhash64("id")).orderBy("_h", "id").limit(SAMPLE).drop("_h").collect()
-    pivots = spark.sparkContext.broadcast(_choose(np.array([r["v"] for r in sorted(sample, key=lambda r: r["id"])], float).reshape(-1, size), top))
+    sample = rows.select("id", "key", "v").withColumn("_h", F.xxhash64("id")).orderBy("_h", "id", "key").limit(SAMPLE).drop("_h").collect()
+    pivots = spark.sparkContext.broadcast(_choose(np.array([r["v"] for r in sorted(sample, key=lambda r: (r["id"], r["key"]))], float).reshape(-1, size), top))
     annuli = stored(_packed(rows, pivots, top, size, False, max(annulus, -(-n // MAX_ANNULI))), "annuli")
     chunks = stored(_packed(rows.filter(queries), pivots, top, size, True, chunk), "chunks")
     table = spark.sparkContext.broadcast(tuple(np.array(x) for x in zip(*((r["name"], r["pivot"], r["near"], r["far"]) for r in annuli.select("name", "pivot", "near", "far").toLocalIterator()))))
@@ -128,6 +129,7 @@ def _one_size(rows: DataFrame, queries, size: int, n: int, top: float, k: int, a
                     live = (bound >= floor[:, None]).any(0)
                     take = [table.value[0][a] for a in order[done : done + width] if live[a]]
                     more = bool(live[order[done + width :]].any())
+                    take.append(None)  # the chunk's word on whether any later annulus may still matter
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(take), pa.int64()), pa.array(take, pa.int64()), pa.array([more] * len(take), pa.bool_())], ["chunk", "annulus", "more"])
 
         return run
@@ -136,13 +138,13 @@ def _one_size(rows: DataFrame, queries, size: int, n: int, top: float, k: int, a
         for b in batches:
             for row in b.to_pylist():
                 q, x = (np.frombuffer(row[c], "<i8").reshape(-1, size) for c in ("q_vectors", "vectors"))
-                q_ids, ids = np.frombuffer(row["q_ids"], "<i8"), np.frombuffer(row["ids"], "<i8")
+                q_ids, ids, q_keys, keys = (np.frombuffer(row[c], "<i8") for c in ("q_ids", "ids", "q_keys", "keys"))
                 exact = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * size < 2**53
                 score = (q.astype(float) @ x.T.astype(float)).astype(np.int64) if exact else q @ x.T
                 floor = np.full(len(q), np.iinfo(np.int64).min)
                 for f in row["floors"] or ():
                     floor[f["q"]] = f["s"]
-                other = q_ids[:, None] != ids
+                other = q_keys[:, None] != keys
                 score = np.where(other, score, np.iinfo(np.int64).min)
                 if score.shape[1] > k:  # negated, the least int64 would wrap and count as the best
                     floor = np.maximum(floor, np.partition(score, score.shape[1] - k, axis=1)[:, -k])
@@ -165,20 +167,20 @@ def _one_size(rows: DataFrame, queries, size: int, n: int, top: float, k: int, a
             now = chunks.join(floors, F.col("name") == F.col("chunk"), "left").drop("chunk")
         now = stored(now, "round")
         pairs = stored(now.select("name", "vectors", "floors").mapInArrow(choose(width, done), "chunk bigint, annulus bigint, more boolean"), "pairs")
-        work = pairs.join(annuli.select(F.col("name").alias("annulus"), "ids", "vectors"), "annulus")
-        work = work.join(now.select(F.col("name").alias("chunk"), F.col("ids").alias("q_ids"), F.col("vectors").alias("q_vectors"), "floors"), "chunk")
+        work = pairs.join(annuli.select(F.col("name").alias("annulus"), "ids", "keys", "vectors"), "annulus")
+        work = work.join(now.select(F.col("name").alias("chunk"), F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"), "floors"), "chunk")
         found = work.repartition("chunk", "annulus").mapInArrow(evaluate, "chunk bigint, q int, query_id bigint, vec_id bigint, score bigint")
         if best is not None:
             found = found.unionByName(best.drop("rank"))
         best = stored(found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k), "best")
         done, width = done + width, width * GROWTH
-        if done >= len(table.value[0]):
+        if done >= len(table.value[0]) or pairs.filter("more").isEmpty():
             return best.select("query_id", "rank", "vec_id", "score")
 
 
 def top_k(vectors: DataFrame, queries, k: int = 20, scale: float = 64.0, id_col: str = "vec_id", vector_col: str = "embedding", annulus: int = ANNULUS, chunk: int = CHUNK) -> DataFrame:
     """query_id, rank, vec_id, score. queries: a condition on `id`."""
-    rows = stored(integers(vectors, id_col, vector_col, scale), "vectors")
+    rows = stored(integers(vectors, id_col, vector_col, scale).withColumn("key", F.monotonically_increasing_id()), "vectors")
     norm = F.aggregate("v", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
     sizes = rows.groupBy("size").agg(F.count("*").alias("n"), F.max(norm).alias("top")).collect()  # a row for each vector length
     parts = [_one_size(rows.filter(F.col("size") == r["size"]), queries, r["size"], r["n"], r["top"], k, annulus, chunk) for r in sorted(sizes, key=lambda r: r["size"]) if r["size"] > 0]
