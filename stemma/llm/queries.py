@@ -66,22 +66,24 @@ QUERIES = {f.__name__: f for f in (op1_license_scan, op2_top_k, op3_suffix_dedup
 
 
 def _license_sql() -> str:
-    values = ", ".join(f"('{n}', '{t}', {k})" for n, c in licenses.template_terms().items() for t, k in sorted(c.items()))
+    values = ", ".join(f"({i}, '{n}', '{t}', {k})" for i, (n, c) in enumerate(licenses.template_terms()) for t, k in sorted(c.items()))
     return f"""
-WITH tpl(license, t, k) AS (VALUES {values}),
+WITH tpl(tpl, license, t, k) AS (VALUES {values}),
 docs AS (SELECT doc_id, source || '/p' || doc_id % 13 || '/m' || doc_id % 3 || CASE WHEN doc_id % 97 = 0 THEN '/LICENSE' ELSE '/' || doc_id || '.txt' END AS path,
   lower(coalesce(text, '')) AS low FROM documents),
 seen AS (SELECT t, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(low, '[a-z0-9]+')) AS t FROM docs) WHERE t IN (SELECT t FROM tpl) GROUP BY t),
 n AS (SELECT count(*) AS n FROM docs),
 idf AS (SELECT t.t, ln((1 + n)::DOUBLE / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT t FROM tpl) t CROSS JOIN n LEFT JOIN seen USING (t)),
-tv AS (SELECT license, t, k * idf AS w FROM tpl JOIN idf USING (t)),
-tn AS (SELECT license, sqrt(sum(w * w)) AS norm FROM tv GROUP BY license),
-units AS (SELECT DISTINCT doc_id, false AS whole, unnest(string_split(low, chr(10))) AS low FROM docs UNION SELECT doc_id, true, low FROM docs),
+tv AS (SELECT tpl, license, t, (1 + ln(k)) * idf AS w FROM tpl JOIN idf USING (t)),
+tn AS (SELECT tpl, sqrt(sum(w * w)) AS norm FROM tv GROUP BY tpl),
+lines AS (SELECT doc_id, string_split(low, chr(10)) AS l FROM docs),
+runs AS (SELECT unnest(range({licenses.RUN})) AS w),
+units AS (SELECT DISTINCT doc_id, false AS whole, unnest(list_transform(range(1, len(l) - w + 1), lambda i: array_to_string(l[i:i + w], chr(10)))) AS low FROM lines, runs UNION SELECT doc_id, true, low FROM docs),
 terms AS (SELECT doc_id, whole, low, t, count(*) AS k FROM (SELECT doc_id, whole, low, unnest(regexp_extract_all(low, '[a-z0-9]+')) AS t FROM units) GROUP BY ALL),
-uv AS (SELECT doc_id, whole, low, t, k * coalesce(idf, ln((1 + n)::DOUBLE / 2) + 1) AS w FROM terms CROSS JOIN n LEFT JOIN idf USING (t)),
+uv AS (SELECT doc_id, whole, low, t, (1 + ln(k)) * coalesce(idf, ln((1 + n)::DOUBLE / 2) + 1) AS w FROM terms CROSS JOIN n LEFT JOIN idf USING (t)),
 un AS (SELECT doc_id, whole, low, sqrt(sum(w * w)) AS norm FROM uv GROUP BY ALL),
 cos AS (SELECT u.doc_id, u.whole, tv.license, round(sum(u.w * tv.w) / (any_value(un.norm) * any_value(tn.norm)), 6) AS score
-  FROM uv u JOIN tv USING (t) JOIN un ON un.doc_id = u.doc_id AND un.whole = u.whole AND un.low = u.low JOIN tn ON tn.license = tv.license GROUP BY u.doc_id, u.whole, u.low, tv.license),
+  FROM uv u JOIN tv USING (t) JOIN un ON un.doc_id = u.doc_id AND un.whole = u.whole AND un.low = u.low JOIN tn ON tn.tpl = tv.tpl GROUP BY u.doc_id, u.whole, u.low, tv.tpl, tv.license),
 own AS (SELECT doc_id, arg_min(license, (-score, license)) AS license, max(score) AS score, bool_or(whole) AS whole FROM cos WHERE score >= {licenses.THRESHOLD} GROUP BY doc_id),
 files AS (SELECT d.doc_id, d.path, regexp_replace(d.path, '/[^/]*$', '') AS dir, o.license, o.score, coalesce(o.whole, false) OR d.path LIKE '%/LICENSE' AS lic FROM docs d LEFT JOIN own o USING (doc_id)),
 given AS (SELECT dir, min(license) AS given FROM files WHERE lic AND license IS NOT NULL GROUP BY dir),
@@ -90,10 +92,10 @@ SELECT f.doc_id, f.path, f.license, f.score, coalesce(f.license, n.inherited) AS
 
 
 _TOP_K_SQL = """
-WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT::DOUBLE) AS e FROM embeddings
+WITH v AS MATERIALIZED (SELECT row_number() OVER () AS own, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT::DOUBLE) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
-SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
+s AS (SELECT q.own, q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score FROM v q JOIN v c ON q.own <> c.own WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score FROM (SELECT *, row_number() OVER (PARTITION BY own, query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 20"""
 
 _URL_SQL = """
 WITH r(h, p, verdict) AS (VALUES ('net', '/', 'block'), ('example.net', '/en/', 'allow'), ('example.com', '/de/', 'block'), ('org', '/fr/', 'allow')),
