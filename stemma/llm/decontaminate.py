@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.storage import stored
+from stemma.storage import lean, stored
 
 SHARD_BYTES = 8 << 20
 PIECE_BYTES = 16 << 20
@@ -158,7 +158,7 @@ def build_index(docs: DataFrame, vocabulary=None, gap: int = 10, id_col: str = "
             yield shard(held, f"{part}-{n}")
 
     row = F.col("_row") if "_row" in docs.columns else F.monotonically_increasing_id()
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row.alias("row"), F.col(text_col).alias("text")).mapInArrow(build, INDEX_SCHEMA)
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), row.alias("row"), F.col(text_col).alias("text")).mapInArrow(lean(build), INDEX_SCHEMA)
 
 
 class _Shard:
@@ -254,7 +254,7 @@ def search(index: DataFrame, windows, near: int | None = None) -> DataFrame:
                     "spans": pa.array(spans, pa.list_(pa.int32())), "items": pa.array(got, pa.list_(pa.int64())),
                 })
 
-    return index.mapInArrow(find, MATCH_SCHEMA)
+    return index.mapInArrow(lean(find), MATCH_SCHEMA)
 
 
 def _pieces(benchmark: DataFrame, id_col: str, text_col: str) -> Iterator[list[tuple[int, str | None]]]:

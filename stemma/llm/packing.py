@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.storage import stored
+from stemma.storage import lean, stored
 
 CAPACITY = 4096
 CACHE_WORDS = 200_000
@@ -163,7 +163,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: in
         if ids:
             yield done()
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(cut, PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(cut), PIECE_SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[tuple[int, int], ...], int]]:
@@ -303,7 +303,7 @@ def place(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*cols, pa.array(r[:, 3] + inside // np.maximum(r[:, 2], 1)), pa.array(r[:, 4] + inside % np.maximum(r[:, 2], 1) * length)], [*names, "sequence_id", "offset"])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in cut.schema) + ", sequence_id bigint, offset bigint"
-    return _ranked(cut, "length", ["doc_id", "piece", "ids_crc32"], rows).mapInArrow(find, schema)
+    return _ranked(cut, "length", ["doc_id", "piece", "ids_crc32"], rows).mapInArrow(lean(find), schema)
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:

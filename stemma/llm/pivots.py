@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.storage import stored
+from stemma.storage import lean, stored
 
 SAMPLE = 4096
 PIVOTS = 32
@@ -95,8 +95,8 @@ def _packed(rows: DataFrame, pivots, top: float, size: int, query: bool, limit:
         if held:
             yield done()
 
-    keyed = rows.select("id", "key", "v").mapInArrow(key, "id bigint, key bigint, pivot int, d double, vector binary")
-    return keyed.repartitionByRange("pivot", "d", "id", "key").sortWithinPartitions("pivot", "d", "id", "key").mapInArrow(pack, "name bigint, pivot int, near double, far double, n int, ids binary, keys binary, vectors binary")
+    keyed = rows.select("id", "key", "v").mapInArrow(lean(key), "id bigint, key bigint, pivot int, d double, vector binary")
+    return keyed.repartitionByRange("pivot", "d", "id", "key").sortWithinPartitions("pivot", "d", "id", "key").mapInArrow(lean(pack), "name bigint, pivot int, near double, far double, n int, ids binary, keys binary, vectors binary")
 
 
 def _one_size(rows: DataFrame, queries, size: int, n: int, top: float, k: int, annulus: int, chunk: int) -> DataFrame:
@@ -166,10 +166,10 @@ def _one_size(rows: DataFrame, queries, size: int, n: int, top: float, k: int, a
             floors = best.filter(F.col("rank") == k).groupBy("chunk").agg(F.collect_list(F.struct("q", F.col("score").alias("s"))).alias("floors"))
             now = chunks.join(floors, F.col("name") == F.col("chunk"), "left").drop("chunk")
         now = stored(now, "round")
-        pairs = stored(now.select("name", "vectors", "floors").mapInArrow(choose(width, done), "chunk bigint, annulus bigint, more boolean"), "pairs")
+        pairs = stored(now.select("name", "vectors", "floors").mapInArrow(lean(choose(width, done)), "chunk bigint, annulus bigint, more boolean"), "pairs")
         work = pairs.join(annuli.select(F.col("name").alias("annulus"), "ids", "keys", "vectors"), "annulus")
         work = work.join(now.select(F.col("name").alias("chunk"), F.col("ids").alias("q_ids"), F.col("keys").alias("q_keys"), F.col("vectors").alias("q_vectors"), "floors"), "chunk")
-        found = work.repartition("chunk", "annulus").mapInArrow(evaluate, "chunk bigint, q int, query_id bigint, vec_id bigint, score bigint")
+        found = work.repartition("chunk", "annulus").mapInArrow(lean(evaluate), "chunk bigint, q int, query_id bigint, vec_id bigint, score bigint")
         if best is not None:
             found = found.unionByName(best.drop("rank"))
         best = stored(found.withColumn("rank", F.row_number().over(ranked)).filter(F.col("rank") <= k), "best")

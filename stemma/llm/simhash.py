@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from stemma.operators.components import components
 from stemma.operators.joins import hot_join
-from stemma.storage import stored
+from stemma.storage import lean, stored
 
 BUCKET = 20_000
 
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             fps = [fingerprint(t.as_buffer().to_pybytes(), shingle) if t.is_valid else 0 for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64))], ["doc_id", "fp"])
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id bigint, fp bigint")
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(lean(run), "doc_id bigint, fp bigint")
 
 
 def _forest(fps: np.ndarray, radius: int) -> list[tuple[int, int]]:
@@ -126,7 +126,7 @@ def links(fps: DataFrame, radius: int = 3, bucket: int = BUCKET) -> DataFrame:
         if held:
             yield done([np.concatenate(held)])
 
-    small = rows.filter(F.col("count") <= bucket).select("seg", "v", "fp").repartition("seg", "v").sortWithinPartitions("seg", "v").mapInArrow(verify, "a bigint, b bigint")
+    small = rows.filter(F.col("count") <= bucket).select("seg", "v", "fp").repartition("seg", "v").sortWithinPartitions("seg", "v").mapInArrow(lean(verify), "a bigint, b bigint")
     large = rows.filter(F.col("count") > bucket)
     if large.isEmpty():
         return small.distinct()

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from stemma.llm.simhash import digests, firsts, links, majority
 from stemma.operators.components import components
 from stemma.operators.joins import among, hot_join
-from stemma.storage import discard, stored
+from stemma.storage import discard, lean, stored
 
 SHINGLE = 5
 PERCENT = 80
@@ -68,7 +68,7 @@ def _hot(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
                 if t.is_valid:
                     yield pa.RecordBatch.from_arrays([pa.array(shingles(digests(_bytes(t), size)))], ["k"])
 
-    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(run, "k bigint")
+    some = docs.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLED)) == 0).select("text").mapInArrow(lean(run), "k bigint")
     top = some.groupBy("k").count().filter("count > 1").orderBy(F.desc("count"), "k").limit(HOT).toArrow()
     keys = top.column("k").to_numpy()[::-1]
     order = np.argsort(keys)
@@ -98,7 +98,7 @@ def _rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                     rows.append((d.as_py(), m.as_py(), _sid(h.tobytes()), n, fp - (fp >> 63 << 64), h[np.argsort(rank, kind="stable")[:take]]))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
-    return _marked(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "mark", "text").mapInArrow(run, "doc_id bigint, mark bigint, sid bigint, n int, fp bigint, prefix array<bigint>")
+    return _marked(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "mark", "text").mapInArrow(lean(run), "doc_id bigint, mark bigint, sid bigint, n int, fp bigint, prefix array<bigint>")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -115,7 +115,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(map(_sid, sets), pa.int64()), pa.array(sets, pa.binary())], ["sid", "hashes"])
 
     texts = among(_marked(docs).select("mark", "text"), wanted, "mark").dropDuplicates(["mark"])
-    return texts.select("text").mapInArrow(run, "sid bigint, hashes binary")
+    return texts.select("text").mapInArrow(lean(run), "sid bigint, hashes binary")
 
 
 def _possible(pairs: DataFrame, once: DataFrame, percent: int) -> DataFrame:
@@ -145,7 +145,7 @@ def _verified(pairs: DataFrame, once: DataFrame, docs: DataFrame, size: int, per
     sids = stored(pairs.select(F.explode(F.array("a", "b")).alias("sid")).distinct(), "pair_sids")
     sets = stored(_sets(docs, among(once.select("mark", "sid"), sids, "sid"), size), "pair_sets")
     x, y = (sets.select(F.col("sid").alias(k), F.col("hashes").alias(c)) for k, c in (("a", "x"), ("b", "y")))
-    found = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint"), "near")
+    found = stored(pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(lean(run), "a bigint, b bigint"), "near")
     for old in (pairs, sids, sets):
         discard(old)
     return found

@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from stemma.storage import stored
+from stemma.storage import lean, stored
 
 LENGTH = 200
 GRAM = 16
@@ -189,7 +189,7 @@ def _occurrences(docs: DataFrame, length: int) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(content), pa.array(ids[a:][which]), pa.array(marks[a:][which]), *(pa.array(x.astype(np.int32)) for x in (s, e, p))], ["key", "content", "id", "mark", "s", "e", "p"])
                     a, size, texts = k + 1, 0, []
 
-    return docs.select("id", "mark", "text").mapInArrow(run, "key bigint, content bigint, id bigint, mark bigint, s int, e int, p int")
+    return docs.select("id", "mark", "text").mapInArrow(lean(run), "key bigint, content bigint, id bigint, mark bigint, s int, e int, p int")
 
 
 def _identified(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -245,7 +245,7 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
 
     types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.bool_()]
     collection = texts.join(several, ["id", "mark"])
-    strings = collection.select("text", "parts").mapInArrow(cut, "key bigint, content bigint, n bigint, shift int, bytes binary, huge boolean")
+    strings = collection.select("text", "parts").mapInArrow(lean(cut), "key bigint, content bigint, n bigint, shift int, bytes binary, huge boolean")
     anew = not of_hot.filter(F.col("_kinds") > giant).isEmpty()
     strings = stored(strings, "strings") if anew else strings
 
@@ -273,7 +273,7 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
         if held:
             yield done(held)
 
-    masks = strings.filter("not huge").drop("huge").repartition("key").sortWithinPartitions("key", "content").mapInArrow(build, "key bigint, content bigint, mask binary")
+    masks = strings.filter("not huge").drop("huge").repartition("key").sortWithinPartitions("key", "content").mapInArrow(lean(build), "key bigint, content bigint, mask binary")
     if anew:
         masks = masks.unionByName(_by_window(strings.filter("huge"), length))
     flags = distinct.filter("kinds = 1 and n > 1").select("key", "content", F.lit(None).cast("binary").alias("mask")).unionByName(masks)
@@ -295,7 +295,7 @@ def spans(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
                     at.append(k), low.append(s[k] + x), high.append(s[k] + y - 1 + length)
             yield pa.RecordBatch.from_arrays([pa.array(ids[at], pa.int64()), pa.array(marks[at], pa.int64()), pa.array(low, pa.int32()), pa.array(high, pa.int32())], ["id", "mark", "s", "z"])
 
-    found = hits.mapInArrow(ranges, "id bigint, mark bigint, s int, z int")
+    found = hits.mapInArrow(lean(ranges), "id bigint, mark bigint, s int, z int")
     return stored(found.groupBy("id", "mark").agg(F.collect_list(F.struct("s", "z")).alias("places")), "spans")
 
 
@@ -323,10 +323,10 @@ def _by_window(strings: DataFrame, length: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], ["key", "content", "mask"])
 
     once = strings.groupBy("key", "content").agg(F.first("n").alias("n"), F.first("bytes").alias("bytes"))
-    found = stored(once.mapInArrow(windows, "key bigint, content bigint, n bigint, at int, h bigint"), "windows")
+    found = stored(once.mapInArrow(lean(windows), "key bigint, content bigint, n bigint, at int, h bigint"), "windows")
     repeated = found.groupBy("key", "h").agg(F.sum("n").alias("_n")).filter("_n > 1").select("key", "h")
     hit = found.join(repeated, ["key", "h"]).groupBy("key", "content").agg(F.collect_list("at").alias("at"))
-    return hit.mapInArrow(masks, "key bigint, content bigint, mask binary")
+    return hit.mapInArrow(lean(masks), "key bigint, content bigint, mask binary")
 
 
 def _merged(places) -> list[tuple[int, int]]:
@@ -359,7 +359,7 @@ def removal(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(r, ty) for r, ty in zip(rows, [pa.int64()] * 3 + [pa.string()]))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     joined = marked.join(places, ["id", "mark"], "left").select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), "places")
-    return joined.mapInArrow(cut, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    return joined.mapInArrow(lean(cut), "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
 
 
 def strip(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -387,4 +387,4 @@ def strip(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()) if n == text_col else b.column(n) for n in names], names)
 
     names = docs.columns
-    return joined.select(*names, "_s_places").mapInArrow(cut, docs.schema)
+    return joined.select(*names, "_s_places").mapInArrow(lean(cut), docs.schema)

@@ -34,6 +34,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from stemma.storage import lean
+
 BITS = 18
 FACTORS = 4
 SAMPLE = 24_000
@@ -177,7 +179,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2).cast(pa.int32()), pa.array(rows, pa.binary())], ["id", "label", "terms"])
 
     ids, marked, rows = [], [], []  # at most `sample`
-    for r in texts.mapInArrow(run, "id bigint, label int, terms binary").toLocalIterator():
+    for r in texts.mapInArrow(lean(run), "id bigint, label int, terms binary").toLocalIterator():
         ids.append(r["id"])
         marked.append(r["label"])
         rows.append(np.frombuffer(bytes(r["terms"]), "<i4"))
@@ -200,7 +202,7 @@ def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str =
 
     names = docs.columns
     schema_names = [*names, name]
-    return docs.mapInArrow(run, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double")
+    return docs.mapInArrow(lean(run), ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + f", `{name}` double")
 
 
 def judged(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
