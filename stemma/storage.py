@@ -48,6 +48,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def trim() -> None:
+    """Hand memory that this process's allocators hold without use back to the system."""
+    pa.default_memory_pool().release_unused()
+    of_libc = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if of_libc:
+        of_libc(0)
+
+
 def lean(run):
     """run, a function for mapInArrow, that at its task's end hands back to the system what the worker's allocators hold without use.
 
@@ -57,10 +65,7 @@ def lean(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
-            if trim:
-                trim(0)
+            trim()
 
     return freed
 
