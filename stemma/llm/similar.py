@@ -12,7 +12,8 @@ Only the components of the links are wanted. A key's members are first held agai
 them, chosen anew in each of STARS rounds (of keys with at most FEW members only one in THINNED
 is taken up here); pairs linked by then, directly or not, are settled, and so is a key whose
 members are all in one component. Then all pairs that share a key and are not settled have their
-turn. Common hashes are either in both prefixes or beyond one of them, so what two prefixes share
+turn; at a key of many members only those sets meet whose rest from that key on can be similar,
+as two sets' first common key lets all similar pairs through. Common hashes are either in both prefixes or beyond one of them, so what two prefixes share
 bounds the overlap, and whole sets are made, from the texts, only for pairs that can reach the
 threshold. Equal sets are one; texts and sets are known by 64-bit hashes.
 
@@ -166,8 +167,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     rows = stored(_rows(docs, shingle, percent), "near_rows")
     once = stored(rows.select("mark", "sid", "n", "fp", "prefix").dropDuplicates(["sid"]), "near_once")
     key = Window.partitionBy("k")
-    # c: the key's members; rest: hashes beyond the prefix
-    met = once.select("sid", "n", (F.col("n") - F.size("prefix")).alias("rest"), F.explode("prefix").alias("k"))
+    # c: the key's members; rest: hashes beyond the prefix; at: the key's place in the order of the set
+    met = once.select("sid", "n", (F.col("n") - F.size("prefix")).alias("rest"), F.posexplode("prefix").alias("at", "k"))
     met = stored(met.withColumn("c", F.count("*").over(key)).filter("c > 1"), "met")
 
     fits = f"sid <> sid2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)"
@@ -193,7 +194,8 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
             small = small.join(many, "sid", "left").join(many.select(F.col("sid").alias("sid2"), F.col("many").alias("many2")), "sid2", "left")
             most = "count + least(coalesce(many, 0), coalesce(many2, 0)) + greatest(rest, rest2)"
             small = small.filter(f"100 * ({most}) >= {percent} * (n + n2 - ({most}))").select(*ends)
-            large = stored(large.join(other(large), "k").filter(f"sid < sid2 and part <> part2 and {fits}").select(*ends).distinct(), "large_pairs")
+            first = "least(n - at, n2 - at2)"  # the overlap at most, where the key is the first that two sets share: each similar pair meets at that one
+            large = stored(large.join(other(large), "k").filter(f"sid < sid2 and part <> part2 and {fits} and 100 * {first} >= {percent} * (n + n2 - {first})").select(*ends).distinct(), "large_pairs")
             pairs = small.unionByName(_possible(large, once, percent)).distinct()
         edges = edges.unionByName(_verified(pairs, once, docs, shingle, percent))
     parts = stored(components(edges).withColumnRenamed("node", "sid"), "near_parts")

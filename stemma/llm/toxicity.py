@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from stemma.storage import lean
+from stemma.storage import lean, trim
 
 BITS = 18
 FACTORS = 4
@@ -185,7 +185,10 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str
         rows.append(np.frombuffer(bytes(r["terms"]), "<i4"))
     order = np.argsort(ids).tolist()
     rows[:] = [rows[k] for k in order]
-    return fit(rows, np.array([marked[k] for k in order], float))
+    machine = fit(rows, np.array([marked[k] for k in order], float))
+    rows.clear()
+    trim()
+    return machine
 
 
 def score(docs: DataFrame, machine: Machine, text_col: str = "text", name: str = "score") -> DataFrame:
