@@ -187,6 +187,22 @@ def test_shards(docs, empty):
     assert shards.shard(empty, 5).count() == 0
 
 
+@pytest.mark.parametrize("classes", [[(10, 1000), (500, 3), (7, 41)], [(9000, 2), (300, 500), (299, 7), (8, 3000)], [(8, 1)], [(100, 97), (60, 96), (33, 95)]])
+def test_shards_schedule(classes):
+    """Each group is dealt once, and loads are those of scheduling item by item."""
+    import heapq
+
+    runs = sorted(shards.schedule([(c, n, c * n) for c, n in classes], 4))
+    loads = [0] * 4
+    for (c, first, s), after in zip(runs, [*runs[1:], (None, 0, 0)]):
+        loads[s] += c * ((after[1] if after[0] == c else dict(classes)[c]) - first)
+    heap = [0] * 4
+    for c, n in sorted(classes, reverse=True):
+        for _ in range(n):
+            heapq.heapreplace(heap, heap[0] + c)
+    assert sum(loads) == sum(heap) and max(loads) <= max(heap) + max(8, min(c for c, _ in classes))
+
+
 @pytest.mark.parametrize("piece", [decontaminate.PIECE_BYTES, 10])
 def test_decontamination(spark, docs, empty, monkeypatch, piece):
     monkeypatch.setattr(decontaminate, "PIECE_BYTES", piece)
