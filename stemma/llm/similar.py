@@ -10,8 +10,9 @@ that few documents meet at a passage that many hold.
 
 Only the components of the links are wanted. A key's members are first held against one of
 them, chosen anew in each of STARS rounds (of keys with at most FEW members only one in THINNED
-is taken up here); pairs linked by then, directly or not, are settled, and so is a key whose
-members are all in one component. Then all pairs that share a key and are not settled have their
+is taken up here), the first together with the pairs by fingerprint; pairs linked by then,
+directly or not, are settled, and so is a key whose members are all in one component. What is
+linked goes into the next round as one edge from each set to its component. Then all pairs that share a key and are not settled have their
 turn; at a key of many members only those sets meet whose rest from that key on can be similar,
 as two sets' first common key lets all similar pairs through. Common hashes are either in both prefixes or beyond one of them, so what two prefixes share
 bounds the overlap, and whole sets are made, from the texts, only for pairs that can reach the
@@ -175,17 +176,20 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
     other = lambda x: x.select("k", *(F.col(c).alias(f"{c}2") for c in x.columns if c not in ("k", "c")))
     ends = (F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b"))
 
-    pairs = _possible(_by_fingerprint(once), once, percent)
-    edges = _verified(pairs, once, docs, shingle, percent)
+    parts = None
     for turn in range(STARS + 1):
-        parts = stored(components(edges).withColumnRenamed("node", "sid"), "near_parts")
         left = met.filter((F.col("c") > FEW) | (F.pmod(F.xxhash64("k", F.lit(turn)), F.lit(THINNED)) == 0)) if turn < STARS else met
-        left = left.join(parts, "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
-        left = left.withColumn("_one", F.min("part").over(key) == F.max("part").over(key)).filter("not _one").drop("_one")
+        if parts is None:
+            left = left.withColumn("part", F.col("sid"))
+        else:
+            left = left.join(parts, "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
+            left = left.withColumn("_one", F.min("part").over(key) == F.max("part").over(key)).filter("not _one").drop("_one")
         if turn < STARS:
             centre = F.min(F.struct(F.xxhash64("sid", F.lit(turn)), F.struct("sid", "n", "part").alias("s"))).over(key)["s"]
             pairs = left.withColumn("r", centre).select("sid", "n", "part", F.col("r.sid").alias("sid2"), F.col("r.n").alias("n2"), F.col("r.part").alias("part2"))
-            pairs = _possible(stored(pairs.filter(f"part <> part2 and {fits}").select(*ends).distinct(), "star_pairs"), once, percent)
+            pairs = pairs.filter(f"part <> part2 and {fits}").select(*ends)
+            pairs = pairs.unionByName(_by_fingerprint(once)) if parts is None else pairs
+            pairs = _possible(stored(pairs.distinct(), "star_pairs"), once, percent)
         else:
             left = stored(left, "left")
             large, small = left.filter(F.col("c") > FEW), left.filter(F.col("c") <= FEW)
@@ -197,8 +201,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
             first = "least(n - at, n2 - at2)"  # the overlap at most, where the key is the first that two sets share: each similar pair meets at that one
             large = stored(large.join(other(large), "k").filter(f"sid < sid2 and part <> part2 and {fits} and 100 * {first} >= {percent} * (n + n2 - {first})").select(*ends).distinct(), "large_pairs")
             pairs = small.unionByName(_possible(large, once, percent)).distinct()
-        edges = edges.unionByName(_verified(pairs, once, docs, shingle, percent))
-    parts = stored(components(edges).withColumnRenamed("node", "sid"), "near_parts")
+        near = _verified(pairs, once, docs, shingle, percent)
+        edges = near if parts is None else near.unionByName(parts.select(F.col("sid").alias("a"), F.col("component").alias("b")))
+        parts = stored(components(edges).withColumnRenamed("node", "sid"), "near_parts")
     own = stored(rows.groupBy("sid").agg(F.min("doc_id").alias("first")), "set_firsts")
     of = own.join(parts, "sid", "left").withColumn("part", F.coalesce("component", "sid"))
     of = of.join(of.groupBy("part").agg(F.min("first").alias("component_id")), "part").select("sid", "component_id")
