@@ -37,7 +37,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("toxicity", toxic), ("simhash_dedup", near_duplicates), ("suffix_dedup", repeated_strings), ("decontamination", benchmark_passages), ("packing", packed)]
 
-#: The classifier, fingerprints and tokenizer are beyond SQL; tests hold run() against a plain version.
+#: The classifier, fingerprints and tokenizer are beyond SQL; tests hold the stages' operators, not yet run() as a whole, against plain versions.
 ORACLE_SQL = None
 
 
