@@ -8,13 +8,15 @@ n - ceil(t * n) + 1 of each (n: the set's size), so documents are indexed by the
 order is right; hashes frequent in one document of SAMPLED (at most HOT of them) go last, so
 that few documents meet at a passage that many hold.
 
-Only the components of the links are wanted. A key's members are first held against one of
-them, chosen anew in each of STARS rounds (of keys with at most FEW members only one in THINNED
+Only the components of the links are wanted. A key's members of one size class are first held
+against one of them in each of STARS rounds: at first the one with the fewest rarer hashes before
+the key (of edited copies the least edited, to which most others are similar), then any (of keys with at most FEW members only one in THINNED
 is taken up here), the first together with the pairs by fingerprint; pairs linked by then,
 directly or not, are settled, and so is a key whose members are all in one component. What is
 linked goes into the next round as one edge from each set to its component. Then all pairs that share a key and are not settled have their
 turn; at a key of many members only those sets meet whose rest from that key on can be similar,
-as two sets' first common key lets all similar pairs through. Common hashes are either in both prefixes or beyond one of them, so what two prefixes share
+as two sets' first common key lets all similar pairs through, and of these only those whose
+parities differ in no more bits than similar sets may in hashes. Common hashes are either in both prefixes or beyond one of them, so what two prefixes share
 bounds the overlap, and whole sets are made, from the texts, only for pairs that can reach the
 threshold. Equal sets are one; texts and sets are known by 64-bit hashes.
 
@@ -26,6 +28,7 @@ copies of each other; ties between copies go to the smallest doc_id; an empty ta
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -45,6 +48,7 @@ HOT = 200_000
 FEW = 16
 STARS = 2
 THINNED = 8
+BITS = 512
 BATCH_BYTES = 4 << 20
 
 
@@ -57,6 +61,11 @@ def _sid(data: bytes) -> int:
     return int.from_bytes(hashlib.md5(data).digest()[:8], "little", signed=True)
 
 
+def _parity(hashes: np.ndarray) -> np.ndarray:
+    """BITS bits, each the parity of the hashes that fall on it: two sets differ in at least as many hashes as these in bits."""
+    return np.packbits((np.bincount(hashes & (BITS - 1), minlength=BITS) & 1).astype(np.uint8)).view("<i8")
+
+
 def _bytes(t: pa.Scalar) -> bytes:
     return t.as_buffer().to_pybytes() if t.is_valid else b""
 
@@ -78,10 +87,10 @@ def _hot(docs: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """doc_id, mark (a hash of the text), sid (equal for equal sets), n, fp, prefix."""
+    """doc_id, mark (a hash of the text), sid (equal for equal sets), n, fp, prefix, bits (_parity)."""
     sent = docs.sparkSession.sparkContext.broadcast(_hot(docs, size))
-    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()))
-    names = ["doc_id", "mark", "sid", "n", "fp", "prefix"]
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
+    names = ["doc_id", "mark", "sid", "n", "fp", "prefix", "bits"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hot, place = sent.value
@@ -97,10 +106,10 @@ def _rows(docs: DataFrame, size: int, percent: int) -> DataFrame:
                         rank = np.where(hot[k] == h, place[k], 0)
                     take = n - -(-percent * n // 100) + 1 if n else 0
                     fp = majority(raw)
-                    rows.append((d.as_py(), m.as_py(), _sid(h.tobytes()), n, fp - (fp >> 63 << 64), h[np.argsort(rank, kind="stable")[:take]]))
+                    rows.append((d.as_py(), m.as_py(), _sid(h.tobytes()), n, fp - (fp >> 63 << 64), h[np.argsort(rank, kind="stable")[:take]], _parity(h)))
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), types)], names)
 
-    return _marked(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "mark", "text").mapInArrow(lean(run), "doc_id bigint, mark bigint, sid bigint, n int, fp bigint, prefix array<bigint>")
+    return _marked(docs).select(F.col("doc_id").cast("bigint").alias("doc_id"), "mark", "text").mapInArrow(lean(run), "doc_id bigint, mark bigint, sid bigint, n int, fp bigint, prefix array<bigint>, bits array<bigint>")
 
 
 def _marked(docs: DataFrame) -> DataFrame:
@@ -166,7 +175,7 @@ def _by_fingerprint(rows: DataFrame) -> DataFrame:
 def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, component_id (the smallest doc_id linked, directly or not). percent: the least similarity."""
     rows = stored(_rows(docs, shingle, percent), "near_rows")
-    once = stored(rows.select("mark", "sid", "n", "fp", "prefix").dropDuplicates(["sid"]), "near_once")
+    once = stored(rows.select("mark", "sid", "n", "fp", "prefix", "bits").dropDuplicates(["sid"]), "near_once")
     key = Window.partitionBy("k")
     # c: the key's members; rest: hashes beyond the prefix; at: the key's place in the order of the set
     met = once.select("sid", "n", (F.col("n") - F.size("prefix")).alias("rest"), F.posexplode("prefix").alias("at", "k"))
@@ -174,6 +183,9 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
 
     fits = f"sid <> sid2 and 100 * least(n, n2) >= {percent} * greatest(n, n2)"
     other = lambda x: x.select("k", *(F.col(c).alias(f"{c}2") for c in x.columns if c not in ("k", "c")))
+    differ = " + ".join(f"bit_count(bits[{i}] ^ bits2[{i}])" for i in range(BITS // 64))
+    close = f"{100 + percent} * ({differ}) <= {100 - percent} * (n + n2)"  # sets of n and n2 hashes that differ in more than this allows are not similar
+    size = F.floor(F.log("n") / math.log(100 / percent)) if percent < 100 else F.col("n")  # sets of one size class can be similar
     ends = (F.least("sid", "sid2").alias("a"), F.greatest("sid", "sid2").alias("b"))
 
     parts = None
@@ -185,21 +197,22 @@ def groups(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> D
             left = left.join(parts, "sid", "left").withColumn("part", F.coalesce("component", "sid")).drop("component")
             left = left.withColumn("_one", F.min("part").over(key) == F.max("part").over(key)).filter("not _one").drop("_one")
         if turn < STARS:
-            centre = F.min(F.struct(F.xxhash64("sid", F.lit(turn)), F.struct("sid", "n", "part").alias("s"))).over(key)["s"]
-            pairs = left.withColumn("r", centre).select("sid", "n", "part", F.col("r.sid").alias("sid2"), F.col("r.n").alias("n2"), F.col("r.part").alias("part2"))
+            place = F.col("at") if turn == 0 else F.lit(0)  # the fewest rarer hashes before the key: of edited copies, the one least edited
+            centre = F.min(F.struct(place, F.xxhash64("sid", F.lit(turn)), F.struct("sid", "n", "part").alias("s"))).over(Window.partitionBy("k", "size"))["s"]
+            pairs = left.withColumn("size", size).withColumn("r", centre).select("sid", "n", "part", F.col("r.sid").alias("sid2"), F.col("r.n").alias("n2"), F.col("r.part").alias("part2"))
             pairs = pairs.filter(f"part <> part2 and {fits}").select(*ends)
             pairs = pairs.unionByName(_by_fingerprint(once)) if parts is None else pairs
             pairs = _possible(stored(pairs.distinct(), "star_pairs"), once, percent)
         else:
             left = stored(left, "left")
-            large, small = left.filter(F.col("c") > FEW), left.filter(F.col("c") <= FEW)
+            large, small = left.filter(F.col("c") > FEW).join(once.select("sid", "bits"), "sid"), left.filter(F.col("c") <= FEW)
             many = met.filter(F.col("c") > FEW).groupBy("sid").agg(F.count("*").alias("many"))
             small = small.join(other(small), "k").filter(f"sid < sid2 and part <> part2 and {fits}").groupBy("sid", "sid2", "n", "n2", "rest", "rest2").count()
             small = small.join(many, "sid", "left").join(many.select(F.col("sid").alias("sid2"), F.col("many").alias("many2")), "sid2", "left")
             most = "count + least(coalesce(many, 0), coalesce(many2, 0)) + greatest(rest, rest2)"
             small = small.filter(f"100 * ({most}) >= {percent} * (n + n2 - ({most}))").select(*ends)
             first = "least(n - at, n2 - at2)"  # the overlap at most, where the key is the first that two sets share: each similar pair meets at that one
-            large = stored(large.join(other(large), "k").filter(f"sid < sid2 and part <> part2 and {fits} and 100 * {first} >= {percent} * (n + n2 - {first})").select(*ends).distinct(), "large_pairs")
+            large = stored(large.join(other(large), "k").filter(f"sid < sid2 and part <> part2 and {fits} and 100 * {first} >= {percent} * (n + n2 - {first}) and {close}").select(*ends).distinct(), "large_pairs")
             pairs = small.unionByName(_possible(large, once, percent)).distinct()
         near = _verified(pairs, once, docs, shingle, percent)
         edges = near if parts is None else near.unionByName(parts.select(F.col("sid").alias("a"), F.col("component").alias("b")))

@@ -138,6 +138,46 @@ def test_near_duplicates(spark, docs, empty, monkeypatch):
     assert similar.keep_one(docs).columns == docs.columns and similar.keep_one(empty).count() == 0
 
 
+@pytest.mark.parametrize("least", [0, 1])
+def test_near_duplicates_one_large_group(spark, monkeypatch, least):
+    """Edited copies of one text, about half of them beyond 0.8 of all others, with and without the text itself: pairs do not grow with the group's square."""
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(150)]
+    rows = [(i, " ".join(w if k not in cut else f"x{rng.randrange(10**6)}" for k, w in enumerate(base))) for i in range(600) for cut in [set(rng.sample(range(150), least + i % 8))]]
+    bags = [{" ".join(w[k : k + 5]) for k in range(146)} for _, t in rows for w in [t.split()]]
+    group = list(range(len(rows)))
+    for i, a in enumerate(bags):
+        for j, b in enumerate(bags[:i]):
+            if group[i] != group[j] and 10 * len(a & b) >= 8 * len(a | b):
+                x, y = group[i], group[j]
+                group = [y if g == x else g for g in group]
+    want = {g: min(i for i, h in enumerate(group) if h == g) for g in set(group)}
+    assert 200 < len(want) < 500
+    pairs = Counter()
+    kept = similar.stored
+
+    def counted(df, name):
+        out = kept(df, name)
+        if name.endswith("pairs"):
+            pairs[name] += out.count()
+        return out
+
+    monkeypatch.setattr(similar, "stored", counted)
+    got = similar.groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted(tuple(r) for r in got) == [(i, want[group[i]]) for i in range(len(rows))]
+    assert pairs["large_pairs"] < len(rows) and sum(pairs.values()) < 6 * len(rows), pairs
+
+
+def test_parity():
+    """Sets differ in at least as many hashes as their parities in bits, whatever their sizes; a few differences count in full or nearly."""
+    rng = np.random.default_rng(6)
+    for n, m in ((0, 0), (0, 1), (3, 3), (200, 30), (5000, 5000)):
+        both, a, b = (rng.integers(-(1 << 63), (1 << 63) - 1, size) for size in (500, n, m))
+        x, y = (np.unique(np.concatenate([both, own])) for own in (a, b))
+        bits = int(np.bitwise_count((similar._parity(x) ^ similar._parity(y)).view(np.uint64)).sum())
+        assert bits <= n + m and (bits - n - m) % 2 == 0 and (n + m > 10 or bits >= n + m - 2)
+
+
 def test_packing(docs, empty):
     from tokenizers import Tokenizer
 
