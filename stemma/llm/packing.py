@@ -20,13 +20,15 @@ separately; an empty table packs nothing; extra columns are ignored.
 from __future__ import annotations
 
 import bisect
+import os
 import re
-import struct
+import string
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +42,15 @@ PER_BUCKET = 4000
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
-#: Words that are one run of letters and then ASCII punctuation, in the Latin-1 letters, which no normalisation joins or splits.
-_PLAIN = re.compile(rb"((?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+)([!-/:-@\[-`{-~]*)").fullmatch
+#: Kinds of bytes: ASCII letters, ASCII punctuation, the first byte of Latin-1 letters, ASCII white space; the rest is 0.
+_LETTER, _PUNCTUATION, _LEAD, _SPACE = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)
+for _kind, _of in ((_LETTER, string.ascii_letters), (_PUNCTUATION, string.punctuation), (_LEAD, "\u00c3"), (_SPACE, string.whitespace)):
+    _KIND[list(_of.encode("latin-1"))] = _kind
+#: The letters of plain words, in lower case.
+_CORE = re.compile(rb"(?:[a-z]++|\xc3[\x9f-\xb6\xb8-\xbf])++").fullmatch
+#: So many words go to the tokenizer at once.
+BATCH_WORDS = 20_000
 #: What a tokenizer must agree on with itself before its words are taken one by one.
 _PROBES = ["It's a test, isn't it?! (Really) 42.5% of \u00c9T\u00c9s\u2026 #tag \u00fcber-gro\u00dfz\u00fcgig", "\u03a3\u0391\u03a3 \u0130x e\u0301 \u00e9 n\u0303andu 'S 't x's a'b ''s", "word... %%% $$$word word*** -- a_b c\\d \u4e2d\u6587\u3002 \U0001f600ok", "A.B.C d/e/f 0641917ea4 <b>x</b> \u00d7\u00f7 \u00aa\u00ba\u00b5"]
 
@@ -53,77 +62,124 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(rest)}
 
 
+def plainly(data: np.ndarray) -> np.ndarray:
+    """Where plain words of data (bytes of texts) go over from letters to punctuation; their letters are put in lower case.
+
+    A plain word is one run of the Latin-1 letters, which no normalisation joins or splits, and then
+    ASCII punctuation or none, between ASCII white space."""
+    kind = _KIND[data]
+    lead = np.flatnonzero(kind[:-1] == _LEAD)
+    second = data[lead + 1]
+    of = (second >= 0x80) & (second <= 0xBF) & (second != 0x97) & (second != 0xB7)  # not the signs for times and divided by
+    lead, second = lead[of], second[of]
+    kind[lead] = kind[lead + 1] = _LETTER
+    starts = np.flatnonzero(np.concatenate(([True], kind[:-1] == _SPACE)))  # of words, empty ones too: each with the white space after it
+    odd = (kind == 0) | (kind == _LEAD)
+    odd[1:] |= (kind[1:] == _LETTER) & (kind[:-1] == _PUNCTUATION)
+    plain = np.repeat(~np.logical_or.reduceat(odd, starts) & (kind[starts] != _PUNCTUATION), np.diff(starts, append=len(data)))
+    data[(data >= 0x41) & (data <= 0x5A) & plain] += 0x20
+    data[lead[(second <= 0x9E) & plain[lead]] + 1] += 0x20
+    return np.flatnonzero((kind[1:] == _PUNCTUATION) & (kind[:-1] == _LETTER) & plain[1:]) + 1
+
+
 class WordTokenizer:
     """ids of texts as little-endian bytes.
 
     Where the tokenizer gives for texts what it gives for their words (it is asked about _PROBES),
-    words are taken one by one and cached; a plain word goes to its merges without the tokenizer's
-    normalisation and splitting, if that too agrees. Otherwise whole texts are encoded."""
+    words are taken one by one and cached; a plain word's letters go to the merges without the tokenizer's
+    normalisation and splitting, and its punctuation is a word, if that too agrees. Otherwise whole texts are encoded."""
 
     def __init__(self, json: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         self.of = Tokenizer.from_str(json)
         self.of.no_truncation()
-        self.known: dict[bytes, bytes] = {}  # and what was known before it last grew full
+        self.known = {b"": b""}  # and what was known before it last grew full
         self.before: dict[bytes, bytes] = {}
-        self.merges, self.letters = self.of.model.tokenize, _byte_letters()
-        self.by_core = all(self._core(w.encode()) == self._whole(w) for w in ("word", "Stra\u00dfe", "\u00c9T\u00c9", "na\u00efve", "ing", "x"))
+        self.letters = {b: c for b, c in _byte_letters().items() if b != 0x20}
+        self.merges = Tokenizer(self.of.model)  # the merges alone, of words between spaces
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        vocab, suffix = self.of.get_vocab(), getattr(self.of.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)  # ids that only a word's last characters get
+        self.ends[[i for t, i in vocab.items() if suffix and t.endswith(suffix)]] = True
+        cores = ["word", "Stra\u00dfe", "\u00c9T\u00c9", "na\u00efve", "ing", "x"]
+        self.by_core = self._cores([w.lower().encode() for w in cores]) == [self._whole(w) for w in cores]
         words = [w for p in _PROBES for w in p.split()]
-        self.by_word = all(b"".join(map(self.one, p.encode().split())) == self._whole(p) for p in _PROBES) and self._whole(" ".join(words)) == b"".join(map(self._whole, words))
+        probes = [*_PROBES, " ".join(words), *words]
+        self.by_word = list(self._by_words([p.encode() for p in probes])) == [self._whole(p) for p in probes]
 
     def _whole(self, text: str) -> bytes:
         return np.asarray(self.of.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def _core(self, core: bytes) -> bytes:
-        """Of one run of Latin-1 letters."""
-        core = core.lower() if core.isascii() else core.decode().lower().encode()
-        return struct.pack(f"<{len(t := self.merges(core.decode('latin-1').translate(self.letters)))}I", *[x.id for x in t])
-
-    def one(self, word: bytes) -> bytes:
-        got = self.known.get(word)
-        if got is None:
-            self.learn({word})
-            got = self.known[word]
-        return got
-
-    def learn(self, words: set[bytes]) -> None:
+    def _cores(self, cores: list[bytes]) -> list[bytes]:
+        """Of lower-case runs of Latin-1 letters, by the merges alone; empty if it is not plain where each ends.
+
+        A word has one id with the suffix at most, so as many of these as words tell each word's last."""
+        out: list[bytes] = []
+        for a in range(0, len(cores), BATCH_WORDS):
+            part = cores[a : a + BATCH_WORDS]
+            text = b" ".join(part).decode("latin-1").translate(self.letters)
+            ids = np.asarray(self.merges.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            at = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+            if len(at) != len(part) or at[-1] != 4 * len(ids):
+                return []
+            data, at = ids.tobytes(), [0, *at.tolist()]
+            out += [data[x:y] for x, y in zip(at, at[1:])]
+        return out
+
+    def learn(self, words: list[bytes]) -> None:
+        """Have all of these distinct words in self.known."""
         if len(self.known) > CACHE_WORDS:
-            self.known, self.before = {}, self.known
-        known, cores, tails, odd = self.known, {}, {b"": b""}, []
-        new = words - known.keys()
-        again = new & self.before.keys()
-        known.update((w, self.before[w]) for w in again)
-        for w in new - again:
-            m = _PLAIN(w) if self.by_core else None
-            if m is None:
-                odd.append(w)
-                continue
-            core, tail = m.groups()
-            ids = cores.get(core)
-            if ids is None:
-                ids = cores[core] = self._core(core)
-            end = tails.get(tail)
-            if end is None:
-                end = tails[tail] = self._whole(tail.decode())
-            known[w] = ids + end
-        for a in range(0, len(odd), 20_000):
-            part = [w.decode() for w in odd[a : a + 20_000]]
+            self.known, self.before = {b"": b""}, self.known
+        known, before = self.known, self.before
+        new = [w for w in words if w not in known]
+        known.update((w, before[w]) for w in new if w in before)
+        odd = [w for w in new if w not in before]
+        if self.by_core:
+            cores = [w for w in odd if _CORE(w)]
+            got = self._cores(cores)
+            if len(got) == len(cores):
+                known.update(zip(cores, got))
+                odd = [w for w in odd if w not in known]
+        for a in range(0, len(odd), BATCH_WORDS):
+            part = [w.decode() for w in odd[a : a + BATCH_WORDS]]
             e = self.of.encode(" ".join(part), add_special_tokens=False)
             first = np.array([x for x, _ in e.offsets], np.int64)
             at = 4 * np.searchsorted(first, np.cumsum([0, *(len(w) + 1 for w in part)]))
             data = np.asarray(e.ids, "<u4").tobytes()
-            known.update(zip(odd[a : a + 20_000], (data[x:y] for x, y in zip(at.tolist(), at[1:].tolist()))))
+            known.update(zip(odd[a : a + BATCH_WORDS], (data[x:y] for x, y in zip(at.tolist(), at[1:].tolist()))))
 
     def encode_all(self, texts: list[bytes]) -> Iterator[bytes]:
-        if not self.by_word:
+        if self.by_word:
+            yield from self._by_words(texts)
+        else:
             yield from (self._whole(t.decode()) for t in texts)
-            return
-        split = [t.split() for t in texts]
-        self.learn(set().union(*split))
-        get = self.known.__getitem__
-        for words in split:
-            yield b"".join(map(get, words))
+
+    def _by_words(self, texts: list[bytes]) -> Iterator[bytes]:
+        data = np.frombuffer(bytearray(b"\n".join([*texts, b""])), np.uint8)
+        bounds = np.cumsum([0, *(len(t) + 1 for t in texts)])
+        if self.by_core and len(data):
+            gaps = plainly(data)
+            data = np.insert(data, gaps, 0x20)
+            bounds += np.searchsorted(gaps, bounds)
+        joined = pa.StringArray.from_buffers(len(texts), pa.py_buffer(bounds.astype(np.int32)), pa.py_buffer(data))
+        split = pc.ascii_split_whitespace(joined)  # gives empty words at the ends
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+        self.learn(words)
+        ids = [self.known[w] for w in words]
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        table, first = np.frombuffer(b"".join(ids), "<u4"), np.cumsum(size) - size
+        which = coded.indices.to_numpy()
+        size, first = size[which], first[which]
+        ends = np.cumsum(size)
+        at = np.repeat(first - ends + size, size)
+        at += np.arange(len(at))
+        data = table[at].tobytes()
+        bounds = (4 * np.concatenate(([0], ends))[split.offsets.to_numpy()]).tolist()
+        for a, b in zip(bounds, bounds[1:]):
+            yield data[a:b]
 
 
 def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = 1, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = False) -> DataFrame:

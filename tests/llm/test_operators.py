@@ -200,6 +200,22 @@ def test_packing(docs, empty):
     assert packing.pack(empty, tokenizer_path()).count() == 0
 
 
+def test_packing_words():
+    """Case and punctuation after it make no new words of a plain word; ids are those of whole texts."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_path())
+    with open(tokenizer_path(), encoding="utf-8") as f:
+        words = packing.WordTokenizer(f.read())
+    known = len(words.known)
+    plain = ["zebra zebra, Zebra ZEBRA; zebra,", " Éclair!\néclair ÉCLAIR,\t", "", " "]
+    odd = ["a.b 'S (x) x--y ÀÖØÞßÿ× É÷é ªb eH\u0331 H\u0331, <|endoftext|> <|ENDOFTEXT|>, c\u00a0d\x1ce x\u0338 <\u0338 ΣΑΣ, İ. 4,5 .", "!", "\x00", "a,b c,", ",", "ß?ß"]
+    for texts in (plain, odd, [], plain + odd):
+        assert list(words.encode_all([t.encode() for t in texts])) == [np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+        if texts is plain:
+            assert words.known.keys() >= {b"zebra", "éclair".encode()} and len(words.known) <= known + 5  # these and the three marks
+
+
 @pytest.mark.parametrize("histogram, want", [({1100: 30, 1000: 60, 996: 30}, 30), ({3000: 5, 400: 5, 396: 5, 300: 5} | dict.fromkeys(range(1000, 1091), 4), None), ({1024: 9}, 3), ({1366: 10, 1365: 20}, 10), ({2048: 3, 1: 1}, 2)])
 def test_packing_completions(histogram, want):
     """Complements are found whatever the largest length and however many lengths lie below the gap."""
