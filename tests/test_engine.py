@@ -104,6 +104,21 @@ def test_text_rules(spark):
     assert spark.createDataFrame([("ﬁne – “x”",)], "t string").select(T.clean(F.col("t"))).first()[0] == 'fine - "x"'
 
 
+def test_long_quotes(spark):
+    """A quote of thousands of words needs no stack; its words are met as a pattern meets those of a short one."""
+    words = [f"wo{i % 997}rd" for i in range(10_000)]
+    text = "Lead in. " + "\n".join(words).upper() + " end"
+    rows = [(" ".join(words), text), (" ".join(words), text.replace("WO5RD\n", "", 1)), ("Ab  ıC ß", "x ab\nIc\tß"), ("kK", "\u212ak"), ("a\u00a0b", "A\u00a0B"), ("b c", "ab \n c"), ("ſ İ", "S i")]
+    got = {r.needle: [] for r in spark.createDataFrame(rows, "needle string, text string").collect()}
+    for r in S.locate(spark.createDataFrame(rows, "needle string, text string")).collect():
+        got[r.needle].append((r.start, r.end, r.tier))
+    exact, fuzzy = sorted(got[" ".join(words)], key=lambda x: x[2])
+    assert exact == (9, len(text) - 4, "exact") and fuzzy[2] == "fuzzy"
+    for n, t in rows[2:]:
+        met = S._by_words(n, t)
+        assert got[n] == [(*met, "exact")], n
+
+
 def test_sentences_keep_their_digits(spark):
     """Sentence 2 begins with a 2, line 1 ends with a 1; blanks go, also wide ones; the SQL says the same."""
     text = "\u00a0 One 0.\nTwo 1!\n28.6 is 2. 33 Four\n\n\nand on 3.  "
