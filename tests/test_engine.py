@@ -83,6 +83,34 @@ def test_intervals(spark):
     assert sorted((r.start, r.end) for r in S.gaps(m, t, "k").collect()) == [(8, 10), (12, 15)]
 
 
+@pytest.mark.parametrize("per_dst, budget, unordered, least", [(3, None, False, None), (3, None, False, 0.2), (3, 40, False, None), (90, 60, False, None), (90, None, False, None),
+                                                                *((None, b, u, x) for u in (False, True) for b, x in ((40, None), (3000, 0.4), (None, 0.3), (None, None)))])
+def test_meetings_pass_on_only_the_best(monkeypatch, per_dst, budget, unordered, least):
+    """Against all pairs, with many equal vectors; what a task passes on does not grow with the blocks it meets."""
+    import numpy as np
+    import pyarrow as pa
+
+    from stemma.operators import funnel
+
+    monkeypatch.setattr(funnel, "TILE", 16)
+    rng = np.random.default_rng(5)
+    x = rng.choice([-1.0, 0.0, 1.0], (130, 5)) + (rng.random((130, 5)) < 0.2) * rng.random((130, 5))
+    x /= np.maximum(np.sqrt((x * x).sum(1, keepdims=True)), 1e-9)
+    ids = rng.permutation(1000)[:130].astype("<i8")
+    cut = [(n, ids[a : a + 37], x[a : a + 37]) for n, a in enumerate(range(0, 130, 37))]
+    rows = [(n, i.tobytes(), v.tobytes(), m, j.tobytes(), w.tobytes()) for m, j, w in cut for n, i, v in cut if not unordered or n >= m]
+    names = ["d_no", "d_ids", "d_x", "s_no", "s_ids", "s_x"]
+    batches = [pa.RecordBatch.from_pydict({k: [r[p] for r in rows[a : a + 3]] for k, p in zip(names, (3, 4, 5, 0, 1, 2))}) for a in range(0, len(rows), 3)]
+    got = [tuple(r.values()) for b in funnel._meeting(per_dst, budget, unordered, least)(iter(batches)) for r in b.to_pylist()]
+    c = np.round(x @ x.T, 6)
+    want = sorted((-c[i, j], ids[i], ids[j]) for i in range(130) for j in range(130) if (ids[i] < ids[j] if unordered else i != j) and (least is None or c[i, j] >= least))
+    if per_dst:
+        seen: dict = {}
+        want = [w for w in want if seen.setdefault(w[2], []).append(w) or len(seen[w[2]]) <= per_dst]
+    want = want if budget is None else want[:budget]
+    assert sorted((round(-v, 6), s, d) for s, d, v in got) == [(round(float(v), 6), s, d) for v, s, d in want]
+
+
 def test_locate(spark):
     rows = [("fox jumps", "the quick fox jumps over"), ("FOX  jumps", "the quick fox jumps over"), ("quick fix jumps", "the quick fox jumps over"), ("zebra", "the quick fox"), (None, "x"), ("", "x")]
     got = [r for r in S.locate(spark.createDataFrame(rows, "needle string, text string")).collect()]
