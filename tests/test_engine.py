@@ -75,6 +75,39 @@ def test_components_and_cliques(spark):
     assert {tuple(r) for r in D.clique_groups(edges.filter("a <> b")).collect()} == {(1, 1), (1, 2), (7, 7), (7, 8)}
 
 
+def test_largest_cliques(spark, monkeypatch):
+    """Against all sets, whole and node by node; and a set of 400 with links missing, where plain branching does not end."""
+    import random
+    from itertools import combinations
+
+    import numpy as np
+
+    def plain(edges):
+        nodes = sorted({x for e in edges for x in e})
+        return next(list(c) for n in range(len(nodes), 1, -1) for c in combinations(nodes, n) if all(e in edges for e in combinations(c, 2)))
+
+    rng, rows, want = random.Random(3), [], set()
+    for k in range(12):
+        edges = {e for e in combinations(range(100 * k, 100 * k + 9), 2) if rng.random() < (0.3, 0.6, 0.9)[k % 3]}
+        assert D.largest_clique(*map(np.array, zip(*edges))) == plain(edges)
+        rows += [e[:: rng.choice((1, -1))] for e in edges]
+        part = {x: {x} for e in edges for x in e}
+        for a, b in edges:
+            if part[a] is not part[b]:
+                part[a] |= part[b]
+                part.update(dict.fromkeys(part[b], part[a]))
+        for part in {frozenset(x) for x in part.values()}:
+            best = plain({e for e in edges if e[0] in part})
+            want |= {(best[0], x) for x in best}
+    df = spark.createDataFrame(rows, "a long, b long")
+    assert {tuple(r) for r in D.clique_groups(df).collect()} == want
+    monkeypatch.setattr(D, "WHOLE", 3)
+    assert {tuple(r) for r in D.clique_groups(df).collect()} == want
+    missing = {(2 * k, 2 * k + 1) for k in range(100)}
+    dense = [e for e in combinations(range(400), 2) if e not in missing] + [(399, x) for x in range(400, 5000)]
+    assert D.largest_clique(*map(np.array, zip(*dense))) == [*range(0, 200, 2), *range(200, 400)]
+
+
 def test_intervals(spark):
     x = spark.createDataFrame([("d", 0, 5), ("d", 5, 8), ("d", 10, 12)], "k string, start int, end int")
     m = S.merged(x, "k")
